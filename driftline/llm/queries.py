@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 
-from . import decontaminate, line_dedup, near_dup, packing, quality, substring_dup
+from . import decontaminate, line_dedup, near_dup, packing, pii, quality, substring_dup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,12 +36,16 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dup.digests(substring_dup.substring_dedup(_table(spark, sf_dir, "documents")))
 
 
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(pii.personal_data(_table(spark, sf_dir, "documents")))
+
+
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_quality_rules, op3_minhash_near_dedup, op4_packing, op5_substring_dedup, op9_benchmark_decontamination)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_quality_rules, op3_minhash_near_dedup, op4_packing, op5_substring_dedup, op8_personal_data, op9_benchmark_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
