@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 
-from . import decontaminate, line_dedup, near_dup, packing, pii, quality, substring_dup
+from pyspark.sql import functions as F
+
+from . import decontaminate, html_extract, licenses, line_dedup, near_dup, packing, pii, quality, substring_dup, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +38,14 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dup.digests(substring_dup.substring_dedup(_table(spark, sf_dir, "documents")))
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.main_text(_table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.licenses(_table(spark, sf_dir, "documents"))
+
+
 def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(pii.personal_data(_table(spark, sf_dir, "documents")))
 
@@ -44,9 +54,25 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op10_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.digests(warc.resolve_revisits(warc.captures(_table(spark, sf_dir, "pages"))))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_quality_rules, op3_minhash_near_dedup, op4_packing, op5_substring_dedup, op8_personal_data, op9_benchmark_decontamination)}
+    found = (
+        op1_line_dedup,
+        op2_quality_rules,
+        op3_minhash_near_dedup,
+        op4_packing,
+        op5_substring_dedup,
+        op6_html_extraction,
+        op7_license_scan,
+        op8_personal_data,
+        op9_benchmark_decontamination,
+        op10_warc_revisits,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": line_dedup.ORACLE}
+    return {"op1_line_dedup": line_dedup.ORACLE, "op10_warc_revisits": warc.ORACLE}
