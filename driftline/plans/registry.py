@@ -4,12 +4,300 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import paths, times, tokenizer, words
+from ..functions import patterns as P
+from ..operators import scoring
+
+BASELINE = ("src1", "src2", "src3", "src4", "src5")
+_REGISTERED: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        _REGISTERED[f.__name__] = (f, sql)
+        return f
+
+    return add
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: f for name, (f, _) in _REGISTERED.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in _REGISTERED.items() if sql}
+
+
+def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def _lines(spark: SparkSession, sf: str) -> DataFrame:
+    return scoring.split_lines(_table(spark, sf, "documents"))
+
+
+def _words(spark: SparkSession, sf: str) -> DataFrame:
+    """Distinct words of documents, URLs and event properties."""
+    docs = _table(spark, sf, "documents").select(F.explode(F.split("text", "[ \\n]", -1)).alias("w"))
+    urls = _table(spark, sf, "pages").select(F.explode(F.split("url", "/", -1)).alias("w")).union(_table(spark, sf, "pages").select("url"))
+    return docs.union(urls).where("w <> ''").distinct()
+
+
+def _event_lines(spark: SparkSession, sf: str) -> DataFrame:
+    level = F.when(F.col("event_type") == "error", "ERROR").otherwise("INFO")
+    line = F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss,SSS"), F.lit(" "), level, F.lit(" svc type="), "event_type", F.lit(" user="), F.col("user_id").cast("string"), F.lit(" props="), "props")
+    return _table(spark, sf, "events").select("event_id", "user_id", "ts", line.alias("line"))
+
+
+LINES = f"""lines AS (SELECT lang AS index_name, source, doc_id, pos, line FROM (
+  SELECT doc_id, lang, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents)
+  WHERE line <> '' AND strlen(line) <= {P.MAX_LINE_BYTES})"""
+WORDS = """words AS (SELECT DISTINCT w FROM (SELECT unnest(string_split(replace(text, chr(10), ' '), ' ')) AS w FROM documents
+  UNION ALL SELECT unnest(string_split(url, '/')) FROM pages UNION ALL SELECT url FROM pages) WHERE w <> '')"""
+EVENTS = """event_lines AS (SELECT event_id, user_id, ts, strftime(ts, '%Y-%m-%d %H:%M:%S') || ',' || lpad((extract('milliseconds' FROM ts)::BIGINT % 1000)::VARCHAR, 3, '0') || ' ' ||
+  CASE WHEN event_type = 'error' THEN 'ERROR' ELSE 'INFO' END || ' svc type=' || event_type || ' user=' || user_id || ' props=' || props AS line FROM events)"""
+_SETS = f"""{LINES}, sets AS (SELECT *, list_sort(list_distinct(list_filter(string_split(line, ' '), lambda w: w <> ''))) AS words FROM lines),
+ b AS (SELECT row_number() OVER () AS b, * FROM (SELECT DISTINCT index_name, words FROM sets WHERE source IN {BASELINE} AND len(words) > 0)),
+ t AS (SELECT row_number() OVER () AS t, * FROM (SELECT DISTINCT index_name, words FROM sets WHERE source NOT IN {BASELINE})),
+ common AS (SELECT t, b, count(*) AS c FROM (SELECT t, index_name, unnest(words) AS w FROM t) JOIN (SELECT b, index_name, unnest(words) AS w FROM b) USING (index_name, w) GROUP BY t, b),
+ best AS (SELECT t, max(c / sqrt(len(t.words)::DOUBLE * len(b.words))) AS s FROM common JOIN t USING (t) JOIN b USING (b) GROUP BY t),
+ scored AS (SELECT t.index_name, t.words, greatest(0.0, 1 - coalesce(s, 0)) AS distance FROM t LEFT JOIN best USING (t))"""
+
+
+def _scored(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    lines = _lines(spark, sf).withColumn("words", scoring.word_set(F.col("line")))
+    known = F.col("source").isin(*BASELINE)
+    target = lines.where(~known)
+    return target, scoring.distances(target, lines.where(known))
+
+
+@query(f"WITH {_SETS} SELECT source, count(*) AS n_lines, count(*) FILTER (WHERE distance > 0.3) AS n_anomalies FROM sets JOIN scored USING (index_name, words) WHERE source NOT IN {BASELINE} GROUP BY source")
+def anomaly_source_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines of each target source, and those farther than the threshold from every baseline line."""
+    target, scored = _scored(spark, sf)
+    hit = F.col("distance") > P.THRESHOLD
+    return target.join(scored, ["index_name", "words"]).groupBy("source").agg(F.count("*").alias("n_lines"), F.count(F.when(hit, 1)).alias("n_anomalies"))
+
+
+@query(f"WITH {_SETS} SELECT index_name, md5(array_to_string(words, ' ')) AS words, round(distance, 6) AS distance FROM scored")
+def set_cosine_distance(spark: SparkSession, sf: str) -> DataFrame:
+    _, scored = _scored(spark, sf)
+    return scored.select("index_name", F.md5(F.array_join("words", " ").cast("binary")).alias("words"), F.round("distance", 6).alias("distance"))
+
+
+@query(f"WITH {_SETS} SELECT cast(round(distance * 10) AS INTEGER) AS severity, count(*) AS n, round(avg(distance), 6) AS mean_distance FROM scored WHERE distance > 0.3 GROUP BY 1")
+def severity_histogram(spark: SparkSession, sf: str) -> DataFrame:
+    _, scored = _scored(spark, sf)
+    return scored.where(F.col("distance") > P.THRESHOLD).groupBy(F.round(F.col("distance") * 10).cast("int").alias("severity")).agg(F.count("*").alias("n"), F.round(F.avg("distance"), 6).alias("mean_distance"))
+
+
+@query(f"WITH {_SETS} SELECT source, count(*) AS n_anomalies, round(avg(distance), 6) AS mean_distance, row_number() OVER (ORDER BY round(avg(distance), 6) DESC, source) AS rank FROM sets JOIN scored USING (index_name, words) WHERE source NOT IN {BASELINE} AND distance > 0.3 GROUP BY source")
+def log_report_sorted(spark: SparkSession, sf: str) -> DataFrame:
+    """Reports by mean distance, farthest first; one row for each source, so the ranking window is small."""
+    target, scored = _scored(spark, sf)
+    per = target.join(scored.where(F.col("distance") > P.THRESHOLD), ["index_name", "words"]).groupBy("source").agg(F.count("*").alias("n_anomalies"), F.round(F.avg("distance"), 6).alias("mean_distance"))
+    return per.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("mean_distance"), "source")).cast("long"))
+
+
+@query(f"WITH {LINES} SELECT doc_id, pos, md5(line) AS line FROM lines")
+def lines_split(spark: SparkSession, sf: str) -> DataFrame:
+    return _lines(spark, sf).select("doc_id", F.col("pos").cast("long").alias("pos"), F.md5(F.col("line").cast("binary")).alias("line"))
+
+
+@query(f"WITH {LINES} SELECT source, count(*) AS line_count, sum(strlen(line))::BIGINT AS byte_count FROM lines GROUP BY source")
+def line_counters(spark: SparkSession, sf: str) -> DataFrame:
+    return _lines(spark, sf).groupBy("source").agg(F.count("*").alias("line_count"), F.sum(F.octet_length("line")).alias("byte_count"))
+
+
+@query("SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda x: strlen(x) > 6000))::BIGINT AS n_dropped FROM documents")
+def long_line_drop(spark: SparkSession, sf: str) -> DataFrame:
+    long = F.filter(F.split("text", "\n", -1), lambda x: F.octet_length(x) > P.MAX_LINE_BYTES)
+    return _table(spark, sf, "documents").select("doc_id", F.size(long).cast("long").alias("n_dropped"))
+
+
+def _rx(pattern: str) -> str:
+    return pattern.replace("\\z", "$").replace("'", "''")
+
+
+_UID_SQL = f"(regexp_matches(w, '{_rx(P.HEX_LIKE_LINEAR)}') OR (regexp_matches(w, '{P.CONSONANT}') AND NOT regexp_matches(w, '{P.VOWEL}')))"
+_B64_SQL = f"(w LIKE '%==' OR (strlen(w) > 24 AND (w LIKE '%=' OR regexp_matches(w, '{_rx(P.BASE64)}'))))"
+_TESTS = {
+    "%DATE": f"regexp_matches(w, '{_rx(P.DATE)}')",
+    "%HASH": f"(w NOT LIKE '/%' AND regexp_matches(w, '(?i)^(hash|sha|md)[0-9]*[:~]|\\.?[a-zA-Z0-9_+/-]{{64}}'))",
+    "%ID": _UID_SQL,
+    "%COOKIE": f"regexp_matches(w, '{_rx(P.COOKIE)}')",
+    "%UID": f"regexp_matches(w, '{_rx(P.UUID_TAIL)}')",
+    "%URL": f"regexp_matches(w, '{_rx(P.URL)}')",
+    "%PATH": "(contains(w, 'tmp/') OR contains(w, '/tmp') OR starts_with(w, 'tmp'))",
+    "%REF": f"regexp_matches(w, '{_rx(P.REFS)}')",
+    "%BASE64": _B64_SQL,
+    "%UNIT": f"regexp_matches(w, '{_rx(P.UNIT)}')",
+}
+
+
+@query(f"WITH {WORDS} SELECT w AS word, CASE " + " ".join(f"WHEN {test} THEN '{name}'" for name, test in _TESTS.items()) + " END AS literal FROM words")
+def word_literals(spark: SparkSession, sf: str) -> DataFrame:
+    """The placeholder of every distinct word, the predicates tried in order."""
+    return _words(spark, sf).select(F.col("w").alias("word"), words.literal(F.col("w")).alias("literal"))
+
+
+def _predicate(kind: str, name: str) -> None:
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        return _words(spark, sf).where(words.LITERALS[kind](F.col("w"))).select(F.col("w").alias("word"))
+
+    run.__name__ = name
+    _REGISTERED[name] = (run, f"WITH {WORDS} SELECT w AS word FROM words WHERE {_TESTS[kind]}")
+
+
+for _kind in words.LITERALS:
+    _predicate(_kind, f"word_is_{_kind[1:].lower()}")
+
+
+@query(f"WITH {WORDS} SELECT w AS word, regexp_replace(w, '[0-9]+\\.[0-9]+|[0-9]+', 'N', 'g') AS plain FROM words")
+def remove_numbers(spark: SparkSession, sf: str) -> DataFrame:
+    return _words(spark, sf).select(F.col("w").alias("word"), words.remove_numbers(F.col("w")).alias("plain"))
+
+
+@query(f"WITH {WORDS} SELECT w AS word FROM words WHERE regexp_matches(w, '{_rx(P.ERROR_WORD)}') OR regexp_matches(w, '{_rx(P.ODD)}')")
+def word_is_error_or_odd(spark: SparkSession, sf: str) -> DataFrame:
+    return _words(spark, sf).where(F.col("w").rlike(P.ERROR_WORD) | F.col("w").rlike(P.ODD)).select(F.col("w").alias("word"))
+
+
+@query(None)
+def tokenize_full(spark: SparkSession, sf: str) -> DataFrame:
+    lines = _event_lines(spark, sf).select("event_id", "line")
+    return tokenizer.with_tokens(lines).select("event_id", "tokens")
+
+
+@query(f"""WITH {LINES}, keyed AS (SELECT *, array_to_string(list_sort(list_filter(string_split(line, ' '), lambda w: w NOT LIKE '\\%%' ESCAPE '\\')), ' ') AS key FROM lines)
+ SELECT doc_id, pos, row_number() OVER (PARTITION BY index_name, key ORDER BY source, doc_id, pos) = 1 AS first FROM keyed""")
+def unordered_key_dedupe(spark: SparkSession, sf: str) -> DataFrame:
+    return scoring.first_of_key(_lines(spark, sf)).select("doc_id", F.col("pos").cast("long").alias("pos"), "first")
+
+
+@query(f"""WITH {LINES}, n AS (SELECT doc_id, pos, line, contains(line, 'ion') AND pos % 5 = 0 AS anomaly, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS seq FROM lines),
+ m AS (SELECT *, min(CASE WHEN anomaly THEN seq END) OVER (PARTITION BY doc_id ORDER BY seq ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next,
+   max(CASE WHEN anomaly THEN seq END) OVER (PARTITION BY doc_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM n),
+ g AS (SELECT *, seq - 1 - CASE WHEN prev IS NULL THEN 0 ELSE least(prev + 3, seq - 1) END AS gap FROM m WHERE anomaly)
+ SELECT g.doc_id, g.pos,
+   coalesce((SELECT string_agg(md5(n.line), ',' ORDER BY n.seq) FROM n WHERE n.doc_id = g.doc_id AND n.seq < g.seq AND n.seq >= g.seq - CASE WHEN gap < 12 THEN gap ELSE 3 END), '') AS before,
+   coalesce((SELECT string_agg(md5(n.line), ',' ORDER BY n.seq) FROM n WHERE n.doc_id = g.doc_id AND n.seq > g.seq AND n.seq <= g.seq + 3 AND (g.next IS NULL OR n.seq < g.next)), '') AS after FROM g""")
+def context_windows(spark: SparkSession, sf: str) -> DataFrame:
+    """Before and after lines; here every fifth line with "ion" stands in for the scored anomalies."""
+    lines = _lines(spark, sf).withColumn("anomaly", F.contains("line", F.lit("ion")) & (F.col("pos") % 5 == 0))
+    said = lambda c: F.array_join(F.transform(c, lambda x: F.md5(x.cast("binary"))), ",")
+    return scoring.contexts(lines).select("doc_id", F.col("pos").cast("long").alias("pos"), said("before").alias("before"), said("after").alias("after"))
+
+
+@query(f"WITH {EVENTS} SELECT event_id, regexp_matches(line, '{_rx('|'.join(P.ERROR_LINE))}') AS is_error FROM event_lines")
+def error_line_filter(spark: SparkSession, sf: str) -> DataFrame:
+    return _event_lines(spark, sf).select("event_id", words.is_error_line(F.col("line")).alias("is_error"))
+
+
+@query(f"WITH {EVENTS} SELECT event_id, epoch_ms(strptime(substr(line, 1, 23), '%Y-%m-%d %H:%M:%S,%g')) AS ts_ms FROM event_lines")
+def timestamp_parse(spark: SparkSession, sf: str) -> DataFrame:
+    return _event_lines(spark, sf).select("event_id", times.full_timestamp(F.col("line")).alias("ts_ms"))
+
+
+@query("""WITH t AS (SELECT event_id, epoch_us(ts) // 1000 AS ref, (epoch_us(ts) // 1000 + 25200000) % 86400000 AS tod FROM events), s AS (SELECT *, ref - ref % 86400000 + tod AS same FROM t)
+ SELECT event_id, CASE WHEN same - ref > 43200000 THEN same - 86400000 WHEN ref - same > 43200000 THEN same + 86400000 ELSE same END AS ts_ms FROM s""")
+def set_date(spark: SparkSession, sf: str) -> DataFrame:
+    ref = F.unix_millis(F.col("ts").cast("timestamp"))
+    return _table(spark, sf, "events").select("event_id", times.with_date(ref, F.pmod(ref + 7 * 3_600_000, F.lit(times.DAY_MS))).alias("ts_ms"))
+
+
+@query("SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS place FROM events WHERE event_type = 'error'")
+def timeline_order(spark: SparkSession, sf: str) -> DataFrame:
+    errors = _table(spark, sf, "events").where("event_type = 'error'")
+    return errors.select("user_id", "event_id", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).cast("long").alias("place"))
+
+
+@query("SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]+)\"', 1)) AS href FROM pages")
+def href_extract(spark: SparkSession, sf: str) -> DataFrame:
+    return _table(spark, sf, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]+)"'), F.lit(1))).alias("href"))
+
+
+@query("SELECT page_id, CASE WHEN url LIKE '%/index.html' THEN substr(url, 1, length(url) - 10) WHEN url LIKE '%/' THEN url END AS dir FROM pages")
+def path_dir(spark: SparkSession, sf: str) -> DataFrame:
+    url = F.col("url")
+    return _table(spark, sf, "pages").select("page_id", F.when(url.endswith("/index.html"), F.substring(url, F.lit(1), F.length(url) - 10)).when(url.endswith("/"), url).alias("dir"))
+
+
+@query(f"SELECT page_id, NOT regexp_matches(regexp_replace(url, '\\.gz$', ''), '{_rx('|'.join(P.EXCLUDED_PATHS))}') AS included FROM pages")
+def path_exclude_filter(spark: SparkSession, sf: str) -> DataFrame:
+    return _table(spark, sf, "pages").select("page_id", paths.included(F.col("url")).alias("included"))
+
+
+@query(None)
+def index_name_clean(spark: SparkSession, sf: str) -> DataFrame:
+    return _table(spark, sf, "pages").select("page_id", paths.index_name(F.regexp_replace("url", "^https?:/", "")).alias("index_name"))
+
+
+@query(f"WITH {LINES} SELECT DISTINCT index_name, source FROM lines t WHERE NOT EXISTS (SELECT 1 FROM lines b WHERE b.source IN ('src1') AND b.index_name = t.index_name AND b.doc_id % 3 = 0)")
+def unknown_index_anti(spark: SparkSession, sf: str) -> DataFrame:
+    lines = _lines(spark, sf).select("index_name", "source", "doc_id")
+    known = lines.where("source = 'src1' and doc_id % 3 = 0").select("index_name").distinct()
+    return lines.join(known, "index_name", "left_anti").select("index_name", "source").distinct()
+
+
+@query(f"WITH {LINES}, s AS (SELECT md5(line) AS line, index_name, source FROM lines WHERE source IN {BASELINE}) SELECT index_name, line, count(DISTINCT source) AS n_models FROM s GROUP BY ALL")
+def model_merge_distinct(spark: SparkSession, sf: str) -> DataFrame:
+    lines = _lines(spark, sf).where(F.col("source").isin(*BASELINE))
+    return lines.select("index_name", F.md5(F.col("line").cast("binary")).alias("line"), "source").distinct().groupBy("index_name", "line").agg(F.count("*").alias("n_models"))
+
+
+_SHARED = f"{LINES}, s AS (SELECT DISTINCT md5(line) AS line, source FROM lines)"
+
+
+@query(f"WITH {_SHARED} SELECT a.source AS t1, b.source AS t2, count(*) AS shared FROM s a JOIN s b ON a.line = b.line AND a.source < b.source GROUP BY ALL")
+def similarity_matrix(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines shared by each pair of sources; a line's sources are few, so pairs are made from its sorted set."""
+    held = _lines(spark, sf).select(F.md5(F.col("line").cast("binary")).alias("line"), "source").distinct()
+    sets = held.groupBy("line").agg(F.array_sort(F.collect_set("source")).alias("s")).where(F.size("s") > 1)
+    pairs = sets.select(F.posexplode("s").alias("i", "t1"), "s").select("t1", F.explode(F.expr("slice(s, i + 2, size(s))")).alias("t2"))
+    return pairs.groupBy("t1", "t2").agg(F.count("*").alias("shared"))
+
+
+@query(f"WITH {_SHARED} SELECT line, count(*) AS n_sources, min(source) AS first_source FROM s GROUP BY line ORDER BY n_sources DESC, line LIMIT 100")
+def top_common(spark: SparkSession, sf: str) -> DataFrame:
+    held = _lines(spark, sf).select(F.md5(F.col("line").cast("binary")).alias("line"), "source").distinct()
+    return held.groupBy("line").agg(F.count("*").alias("n_sources"), F.min("source").alias("first_source")).orderBy(F.desc("n_sources"), "line").limit(100)
+
+
+@query(f"WITH {_SETS}, per AS (SELECT source, count(*) AS n, count(*) FILTER (WHERE distance > 0.3) AS a FROM sets JOIN scored USING (index_name, words) WHERE source NOT IN {BASELINE} GROUP BY source) SELECT source, round(100 - a * 100.0 / n, 4) AS reduction FROM per")
+def reduction_percent(spark: SparkSession, sf: str) -> DataFrame:
+    return anomaly_source_counts(spark, sf).select("source", F.round(100 - F.col("n_anomalies") * 100.0 / F.col("n_lines"), 4).cast("double").alias("reduction"))
+
+
+@query("SELECT source, upper(sha256(source)) AS path, sum(n_chars)::BIGINT AS bytes_size FROM documents GROUP BY source")
+def sha_model_path(spark: SparkSession, sf: str) -> DataFrame:
+    return _table(spark, sf, "documents").groupBy("source").agg(F.upper(F.sha2(F.col("source").cast("binary"), 256)).alias("path"), F.sum("n_chars").alias("bytes_size"))
+
+
+@query("""WITH m AS (SELECT source, sum(n_chars)::BIGINT AS bytes_size, min(doc_id) AS created FROM documents GROUP BY source), r AS (SELECT *, sum(bytes_size) OVER (ORDER BY created, source ROWS UNBOUNDED PRECEDING) - bytes_size AS freed FROM m)
+ SELECT source, bytes_size FROM r WHERE freed < (SELECT sum(bytes_size) FROM m) / 2""")
+def reclaim_oldest(spark: SparkSession, sf: str) -> DataFrame:
+    """The oldest models whose removal frees half of the space; one row for each model."""
+    m = _table(spark, sf, "documents").groupBy("source").agg(F.sum("n_chars").alias("bytes_size"), F.min("doc_id").alias("created"))
+    order = Window.orderBy("created", "source").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    total = F.sum("bytes_size").over(Window.partitionBy())
+    return m.withColumn("freed", F.sum("bytes_size").over(order) - F.col("bytes_size")).withColumn("total", total).where("freed < total / 2").select("source", "bytes_size")
+
+
+@query("""SELECT event_id, score FROM (SELECT event_id, user_id, 50 * (user_id % 3 = 0)::BIGINT + 50 * (event_type = 'purchase')::BIGINT + 10 * (value > 50)::BIGINT - greatest(date_diff('day', ts, TIMESTAMP '2024-06-01'), 0) AS score,
+   row_number() OVER (PARTITION BY user_id ORDER BY 50 * (user_id % 3 = 0)::BIGINT + 50 * (event_type = 'purchase')::BIGINT + 10 * (value > 50)::BIGINT - greatest(date_diff('day', ts, TIMESTAMP '2024-06-01'), 0) DESC, event_id) AS r FROM events) WHERE r = 1""")
+def baseline_score_top1(spark: SparkSession, sf: str) -> DataFrame:
+    """The best scored candidate of each user, by a map-side maximum."""
+    age = F.greatest(F.datediff(F.lit("2024-06-01").cast("date"), F.col("ts").cast("date")), F.lit(0))
+    score = 50 * (F.col("user_id") % 3 == 0).cast("long") + 50 * (F.col("event_type") == "purchase").cast("long") + 10 * (F.col("value") > 50).cast("long") - age
+    best = _table(spark, sf, "events").groupBy("user_id").agg(F.max(F.struct(score.alias("score"), (-F.col("event_id")).alias("e"))).alias("m"))
+    return best.select((-F.col("m.e")).alias("event_id"), F.col("m.score").alias("score"))
+
+
+@query("SELECT vec_id, round(list_dot_product(embedding, embedding), 3) AS norm2 FROM embeddings")
+def embedding_norm(spark: SparkSession, sf: str) -> DataFrame:
+    squares = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
+    return _table(spark, sf, "embeddings").select("vec_id", F.round(squares, 3).alias("norm2"))
