@@ -11,9 +11,11 @@ Banding finds candidates, the full shingle sets confirm them.  The defaults (40
 a pair at similarity 0.75 with probability 3e-7.
 
 Skew: texts with equal shingle sets are first reduced to one representative (a map-side minimum),
-so a group of exact copies costs one row.  In a bucket every text is compared with its best pivot
-(the smallest id of a bucket it is in), which is linear.  Pairs that these stars leave in
-different components are then compared inside their buckets, in blocks of bounded size.
+so a group of exact copies costs one row.  In rounds, each text is compared with one pivot only, the one
+it shares most buckets with: the smallest text of another component in a bucket.  A first round
+over a few bands joins most of a large group, so that later rounds see only what is still apart.
+Then all pairs of different components in one bucket are compared, in blocks of bounded size: the
+rows outside a bucket's main component against all of its rows, so nothing is lost.
 """
 
 from __future__ import annotations
@@ -32,9 +34,10 @@ from .textops import Words, inside_one, mix, text_slices, window_hashes
 SHINGLE = 5
 BANDS, ROWS = 40, 4
 SIMILAR = 75  # percent
-#: A pair whose sketches agree in fewer bins is not verified; at similarity 0.75 this lies 6 standard deviations down.
-LEAST_AGREEING = 0.54
+#: A pair whose sketches agree in fewer bins is not verified; at similarity 0.75 this lies 4.4 standard deviations down.
+LEAST_AGREEING = 0.6
 BLOCK = 512
+FIRST_BANDS = 8
 
 
 def shingle_sets(words: Words, width: int = SHINGLE) -> list[np.ndarray]:
@@ -126,23 +129,6 @@ def _agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a == b).mean(axis=-1)
 
 
-def estimated(pairs: DataFrame, similar: int) -> DataFrame:
-    """Pairs (a, b, na, nb, sa, sb) that may reach the similarity, with est; sketches are dropped."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype="<u2").reshape(batch.num_rows, -1) for c in ("sa", "sb"))
-            est = _agreement(a, b)
-            na, nb = batch.column("na").to_numpy(), batch.column("nb").to_numpy()
-            ok = (est >= LEAST_AGREEING) & (100 * np.minimum(na, nb) >= similar * np.maximum(na, nb))
-            out = pa.record_batch([batch.column("a"), batch.column("b"), pa.array(est)], names=["a", "b", "est"])
-            yield out.filter(pa.array(ok))
-
-    return pairs.mapInArrow(run, "a long, b long, est double")
-
-
 def verified(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, width: int, similar: int) -> DataFrame:
     """The pairs (a, b) whose full sets have 100 * intersection >= similar * union, with both counts."""
     ids = pairs.select(F.col("a").alias(id_col)).union(pairs.select(F.col("b").alias(id_col))).distinct()
@@ -164,32 +150,33 @@ def verified(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, widt
     return joined.select("a", "b", "xa", "xb").mapInArrow(run, "a long, b long, n_both long, n_union long")
 
 
-def _cross_pairs(members: DataFrame, sizes: DataFrame, similar: int) -> DataFrame:
-    """Candidate pairs of different components inside each bucket, by blocks of about BLOCK members.
+def _cross_pairs(members: DataFrame, similar: int) -> DataFrame:
+    """Candidate pairs (a, b) of different components inside each bucket.
 
-    members (bucket, id, root, n, sketch); sizes (bucket, size).  A bucket of k blocks is compared in
-    k (k + 1) / 2 tasks' groups, each of bounded size.
+    members (bucket, id, root, n, sketch, main, size, others): main is the component with most of the
+    bucket's size rows, others the number of rows outside it.  Each row of the others is a query
+    against all rows; queries and targets are dealt into blocks of about BLOCK rows, and a block of
+    queries meets a block of targets in one group.
     """
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    mine = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    dealt = (
-        members.join(sizes, "bucket")
-        .withColumn("blocks", blocks)
-        .withColumn("mine", mine)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("bucket", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "id", "root", "n", "sketch")
-    )
+    number = lambda count: F.greatest(F.ceil(F.col(count) / BLOCK).cast("int"), F.lit(1))
+    block = lambda count: F.pmod(F.xxhash64("id"), number(count)).cast("int")
+    every = lambda count: F.explode(F.sequence(F.lit(0), number(count) - 1))
+    columns = ["bucket", "i", "j", "query", "id", "root", "n", "sketch"]
+    targets = members.withColumn("query", F.lit(False)).withColumn("j", block("size")).withColumn("i", every("others"))
+    queries = members.where("root <> main").withColumn("query", F.lit(True)).withColumn("i", block("others")).withColumn("j", every("size"))
+    dealt = targets.select(columns).union(queries.select(columns))
 
     def compare(rows: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """The pairs of each (bucket, i, j) of a table sorted by these."""
-        bucket, i, j, mine, ids, roots, n = (rows.column(c).to_numpy() for c in ("bucket", "i", "j", "mine", "id", "root", "n"))
+        bucket, i, j, query, ids, roots, n = (rows.column(c).to_numpy() for c in ("bucket", "i", "j", "query", "id", "root", "n"))
         sketches = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), dtype="<u2").reshape(len(ids), -1)
         new = (np.diff(bucket, prepend=bucket[:1]) != 0) | (np.diff(i, prepend=i[:1]) != 0) | (np.diff(j, prepend=j[:1]) != 0)
         cuts = [0, *np.flatnonzero(new), len(ids)]
         for lo, hi in zip(cuts, cuts[1:], strict=False):
-            for x in range(lo, hi - 1) if i[lo] == j[lo] else lo + np.flatnonzero(mine[lo:hi] == i[lo]):
-                y = np.arange(x + 1, hi) if i[lo] == j[lo] else lo + np.flatnonzero(mine[lo:hi] == j[lo])
-                y = y[(roots[y] != roots[x]) & (100 * np.minimum(n[y], n[x]) >= similar * np.maximum(n[y], n[x]))]
+            asked = query[lo:hi]
+            targets = lo + np.flatnonzero(~asked)
+            for x in lo + np.flatnonzero(asked):
+                y = targets[(roots[targets] != roots[x]) & (100 * np.minimum(n[targets], n[x]) >= similar * np.maximum(n[targets], n[x]))]
                 y = y[_agreement(sketches[y], sketches[x]) >= LEAST_AGREEING]
                 if len(y):
                     yield np.minimum(ids[y], ids[x]), np.maximum(ids[y], ids[x])
@@ -241,35 +228,34 @@ def near_duplicates(
     reps = feats.join(same.select(F.col("rep").alias("id")), "id", "left_semi")
     reps = scratch.put(reps.select("id", F.col("n_shingles").alias("n"), "sketch", "bands"), "reps")
 
-    buckets = reps.select("id", F.explode("bands").alias("bucket"))
-    pivots = buckets.groupBy("bucket").agg(F.min("id").alias("pivot"), F.count("*").alias("size")).where("size > 1")
-    pivots = scratch.put(pivots, "pivots")  # written, so that AQE can split a hot key of the join
-    members = scratch.put(buckets.join(pivots, "bucket"), "members")  # in no bucket of two: no candidate
     ids = reps.select("id", "n", "sketch")
 
-    def sketched(pairs: DataFrame) -> DataFrame:
-        left = ids.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
-        right = ids.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
-        return estimated(pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "sa", "sb"), similar)
-
-    stars = sketched(members.where("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct())
-    best = stars.groupBy("a").agg(F.max_by("b", F.struct("est", -F.col("b"))).alias("b"))
-    links = scratch.put(verified(docs, scratch.put(best, "stars"), id_col, text_col, width, similar).select("a", "b"), "links")
-    roots = scratch.put(union_find(spark, scratch, links), "roots")
-
-    # what the stars leave apart within a bucket
-    labelled = members.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    labelled = scratch.put(labelled.select("bucket", "id", "root"), "labelled")
-    apart = labelled.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size")).where("lo <> hi").select("bucket", "size")
-    apart = scratch.put(apart, "apart")
-    crossing = scratch.put(labelled.join(apart, "bucket", "left_semi").join(ids, "id"), "crossing")
-    rest = scratch.put(_cross_pairs(crossing, apart, similar).select("a", "b").distinct(), "pairs")
+    def labelled(roots: DataFrame | None, some: int) -> DataFrame:
+        """(bucket, id, root) over the first bands."""
+        own = reps.select("id", "bands")
+        own = own.withColumn("root", F.col("id")) if roots is None else own.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+        return own.select("id", "root", F.explode(F.slice("bands", 1, some)).alias("bucket"))
+
+    links = roots = None
+    for some in (FIRST_BANDS, bands):
+        rows = labelled(roots, some)
+        # the aggregate is written, so that AQE can split a hot key of the join
+        mixed = rows.groupBy("bucket").agg(F.min(F.struct("root", "id")).alias("low"), F.max("root").alias("high")).where("low.root <> high")
+        mixed = scratch.put(mixed.select("bucket", F.col("low.root").alias("main"), F.col("low.id").alias("pivot")), "mixed")
+        shared = rows.join(mixed, "bucket").where("root <> main").groupBy("id", "pivot").agg(F.count("*").alias("n"))
+        best = shared.groupBy(F.col("id").alias("a")).agg(F.max_by("pivot", F.struct("n", -F.col("pivot"))).alias("b"))
+        found = scratch.put(verified(docs, scratch.put(best, "stars"), id_col, text_col, width, similar).select("a", "b"), "links")
+        links = found if links is None else links.union(found)
+        roots = scratch.put(union_find(spark, scratch, links), "roots")
+
+    # what is still apart within a bucket
+    rows = labelled(roots, bands)
+    sizes = rows.groupBy("bucket", "root").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("m"), F.sum("n").alias("size"), F.count("*").alias("k"))
+    sizes = scratch.put(sizes.where("k > 1").select("bucket", F.col("m.root").alias("main"), "size", (F.col("size") - F.col("m.n")).alias("others")), "apart")
+    crossing = scratch.put(rows.join(sizes, "bucket").join(ids, "id"), "crossing")
+    rest = scratch.put(_cross_pairs(crossing, similar).distinct(), "pairs")
     more = scratch.put(verified(docs, rest, id_col, text_col, width, similar).select("a", "b"), "links")
-    if more.isEmpty():
-        root_of = roots
-    else:
-        all_links = links.union(more)
-        root_of = scratch.put(union_find(spark, scratch, all_links), "roots")
+    root_of = roots if more.isEmpty() else scratch.put(union_find(spark, scratch, links.union(more)), "roots")
 
     label = same.join(root_of.withColumnRenamed("node", "rep"), "rep", "left").select("fp1", "fp2", "n_shingles", F.coalesce("root", "rep").alias("component_id"))
     out = feats.select("id", "n_shingles", "fp1", "fp2").join(label, ["fp1", "fp2", "n_shingles"], "left")
