@@ -150,26 +150,51 @@ def verified(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, widt
     return joined.select("a", "b", "xa", "xb").mapInArrow(run, "a long, b long, n_both long, n_union long")
 
 
-def _cross_pairs(members: DataFrame, similar: int) -> DataFrame:
-    """Candidate pairs (a, b) of different components inside each bucket.
+def short_sets(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+    """(id, short binary): the shingle hashes of each set cut to 32 bits, sorted, for a close bound on an intersection."""
 
-    members (bucket, id, root, n, sketch, main, size, others): main is the component with most of the
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, n, data, offsets in text_slices(batch.column(1)):
+                sets = [np.sort((s >> np.uint64(32)).astype("<u4")) for s in shingle_sets(Words(data, offsets, fold_case=True), width)]
+                yield pa.record_batch([batch.column(0).slice(row, n), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "short"])
+
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, short binary")
+
+
+def _cross_pairs(members: DataFrame, similar: int, rows_of_band: int) -> DataFrame:
+    """Pairs (a, b) of different components inside a bucket whose short sets reach the similarity.
+
+    A pair is compared only in the first band it shares.  Short sets count every common shingle, and by
+    collision at most a few more: what they refuse is no link, what they let through is verified.
+
+    members (bucket, band, id, root, n, sketch, short, main, size, others): main is the component with most of the
     bucket's size rows, others the number of rows outside it.  Each row of the others is a query
     against all rows; queries and targets are dealt into blocks of about BLOCK rows, and a block of
     queries meets a block of targets in one group.
     """
     number = lambda count: F.greatest(F.ceil(F.col(count) / BLOCK).cast("int"), F.lit(1))
     block = lambda count: F.pmod(F.xxhash64("id"), number(count)).cast("int")
-    every = lambda count: F.explode(F.sequence(F.lit(0), number(count) - 1))
-    columns = ["bucket", "i", "j", "query", "id", "root", "n", "sketch"]
-    targets = members.withColumn("query", F.lit(False)).withColumn("j", block("size")).withColumn("i", every("others"))
-    queries = members.where("root <> main").withColumn("query", F.lit(True)).withColumn("i", block("others")).withColumn("j", every("size"))
-    dealt = targets.select(columns).union(queries.select(columns))
+    steps = lambda count: F.sequence(F.lit(0), number(count) - 1)
+    place = lambda i, j, query: F.struct(i.alias("i"), j.alias("j"), F.lit(query).alias("query"))
+    mine_i, mine_j = block("others"), block("size")
+    targets = F.transform(steps("others"), lambda i: place(i, mine_j, False))
+    queries = F.when(F.col("root") != F.col("main"), F.transform(steps("size"), lambda j: place(mine_i, j, True))).otherwise(F.array().cast("array<struct<i:int,j:int,query:boolean>>"))
+    dealt = members.withColumn("p", F.explode(F.concat(targets, queries)))
+    dealt = dealt.select("bucket", "band", F.col("p.i").alias("i"), F.col("p.j").alias("j"), F.col("p.query").alias("query"), "id", "root", "n", "sketch", "short")
 
     def compare(rows: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """The pairs of each (bucket, i, j) of a table sorted by these."""
         bucket, i, j, query, ids, roots, n = (rows.column(c).to_numpy() for c in ("bucket", "i", "j", "query", "id", "root", "n"))
         sketches = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), dtype="<u2").reshape(len(ids), -1)
+        bands, shorts = rows.column("band").to_numpy(), rows.column("short").combine_chunks()
+        sets: dict[int, np.ndarray] = {}
+
+        def short(k: int) -> np.ndarray:
+            if k not in sets:
+                sets[k] = np.frombuffer(shorts[int(k)].as_buffer(), dtype="<u4")
+            return sets[k]
+
         new = (np.diff(bucket, prepend=bucket[:1]) != 0) | (np.diff(i, prepend=i[:1]) != 0) | (np.diff(j, prepend=j[:1]) != 0)
         cuts = [0, *np.flatnonzero(new), len(ids)]
         for lo, hi in zip(cuts, cuts[1:], strict=False):
@@ -179,6 +204,17 @@ def _cross_pairs(members: DataFrame, similar: int) -> DataFrame:
                 y = targets[(roots[targets] != roots[x]) & (100 * np.minimum(n[targets], n[x]) >= similar * np.maximum(n[targets], n[x]))]
                 y = y[_agreement(sketches[y], sketches[x]) >= LEAST_AGREEING]
                 if len(y):
+                    equal = (sketches[y] == sketches[x]).reshape(len(y), -1, rows_of_band).all(axis=2)
+                    y = y[equal.argmax(axis=1) == bands[lo]]
+                a, near = short(x), []
+                for k in y:
+                    b = short(k)
+                    at = np.minimum(np.searchsorted(a, b), len(a) - 1)
+                    common = int((a[at] == b).sum())
+                    if 100 * common >= similar * (len(a) + len(b) - common):
+                        near.append(k)
+                if near:
+                    y = np.array(near)
                     yield np.minimum(ids[y], ids[x]), np.maximum(ids[y], ids[x])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,7 +255,7 @@ def near_duplicates(
     Null or word-less text: an empty set, linked with nothing.  An empty table gives an empty one;
     further columns are ignored.
     """
-    spark = docs.sparkSession
+    spark, rows_per_band = docs.sparkSession, rows
     scratch = Scratch(spark, "near-dup")
     feats = scratch.put(features(docs, id_col, text_col, width, bands, rows), "features")
     # texts of one set: the smallest id stands for all
@@ -234,7 +270,7 @@ def near_duplicates(
         """(bucket, id, root) over the first bands."""
         own = reps.select("id", "bands")
         own = own.withColumn("root", F.col("id")) if roots is None else own.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-        return own.select("id", "root", F.explode(F.slice("bands", 1, some)).alias("bucket"))
+        return own.select("id", "root", F.posexplode(F.slice("bands", 1, some)).alias("band", "bucket"))
 
     links = roots = None
     for some in (FIRST_BANDS, bands):
@@ -252,8 +288,10 @@ def near_duplicates(
     rows = labelled(roots, bands)
     sizes = rows.groupBy("bucket", "root").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("m"), F.sum("n").alias("size"), F.count("*").alias("k"))
     sizes = scratch.put(sizes.where("k > 1").select("bucket", F.col("m.root").alias("main"), "size", (F.col("size") - F.col("m.n")).alias("others")), "apart")
-    crossing = scratch.put(rows.join(sizes, "bucket").join(ids, "id"), "crossing")
-    rest = scratch.put(_cross_pairs(crossing, similar).distinct(), "pairs")
+    crossing = scratch.put(rows.join(sizes, "bucket"), "crossing")
+    apart = scratch.put(crossing.select(F.col("id").alias(id_col)).distinct(), "crossing-ids")
+    near = ids.join(short_sets(restrict(docs.select(id_col, text_col), apart, id_col), id_col, text_col, width), "id")
+    rest = scratch.put(_cross_pairs(crossing.join(near, "id"), similar, rows_per_band).distinct(), "pairs")
     more = scratch.put(verified(docs, rest, id_col, text_col, width, similar).select("a", "b"), "links")
     root_of = roots if more.isEmpty() else scratch.put(union_find(spark, scratch, links.union(more)), "roots")
 
