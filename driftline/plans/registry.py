@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths, times, tokenizer, words
 from ..functions import patterns as P
-from ..operators import scoring
+from ..operators import errors, scoring, splitting
 
 BASELINE = ("src1", "src2", "src3", "src4", "src5")
 _REGISTERED: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -301,3 +301,33 @@ def baseline_score_top1(spark: SparkSession, sf: str) -> DataFrame:
 def embedding_norm(spark: SparkSession, sf: str) -> DataFrame:
     squares = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
     return _table(spark, sf, "embeddings").select("vec_id", F.round(squares, 3).alias("norm2"))
+
+
+@query("""WITH p AS (SELECT event_id, list_filter(string_split_regex(props, '[,{}\\[\\]]'), lambda x: x <> '') AS l FROM events)
+ SELECT event_id, unnest(range(1, len(l) + 1)) AS seq, 1::BIGINT AS pos, unnest(l) AS line FROM p""")
+def split_json(spark: SparkSession, sf: str) -> DataFrame:
+    """Pieces of the properties; they hold no punctuation inside strings, so SQL can tell."""
+    return splitting.split(_table(spark, sf, "events"), "event_id", "props", "json")
+
+
+@query(None)
+def split_xml(spark: SparkSession, sf: str) -> DataFrame:
+    return splitting.split(_table(spark, sf, "pages"), "page_id", "html", "xml")
+
+
+@query(None)
+def split_text(spark: SparkSession, sf: str) -> DataFrame:
+    return splitting.split(_table(spark, sf, "documents"), "doc_id", "text")
+
+
+@query(None)
+def error_contexts(spark: SparkSession, sf: str) -> DataFrame:
+    """Errors of each user's events, with the lines around them."""
+    lines = _event_lines(spark, sf).select(F.col("user_id").cast("string").alias("source"), F.col("event_id").alias("seq"), F.col("event_id").alias("pos"), "line")
+    return errors.error_contexts(lines)
+
+
+@query(f"WITH {EVENTS} SELECT user_id::VARCHAR AS source, event_id AS pos, md5(line) AS line FROM event_lines WHERE regexp_matches(line, '{_rx('|'.join(P.ERROR_LINE))}')")
+def error_lines_by_source(spark: SparkSession, sf: str) -> DataFrame:
+    """What error_contexts finds, without the contexts: events hold no traces."""
+    return error_contexts(spark, sf).select("source", "pos", F.md5(F.col("line").cast("binary")).alias("line"))
