@@ -1,17 +1,23 @@
 """Personal data: patterns, then information-theoretic sanitisation; DataFrame operations only.
 
-Four patterns give the protected entities.  A term (a run of three letters or more) that stands within
-``reach`` characters of an entity may give it away though it is not personal by itself.  Over all documents,
+Four patterns give the protected entities.  A term (a run of three letters or more) anywhere in a
+document with an entity may give it away though it is not personal by itself.  Over all documents,
 
     PMI(t; e) = log2(n_te * N / (n_t * n_e)),    IC(e) = log2(N / n_e),
 
-n counting documents, say how much of the information of e the term t carries.  A term discloses e
-when PMI >= share * IC and the pair was seen in ``support`` different surroundings (so that copies of
-one text prove nothing).  Disclosing terms become spans of kind ``term`` where they stand beside e;
+n counting documents, say how much of the information of e the term t carries; a term discloses e when
+PMI >= share * IC.  Chance is kept out in two ways.  Where t met e in ``support`` different
+surroundings (so that copies of one text prove nothing), PMI counts as it is.  Most entities have
+fewer surroundings than that: there t must stand in all of them, and its frequency is smoothed,
+(n_t + 1/2) / (N + 1/2), so that a term counts as rare only in a corpus large enough to tell.
+Evidence is also pooled over generalised entities (local part, domain, number prefix), which need
+``support`` surroundings: a term of many once-seen addresses of one domain discloses each of them.
+
+Disclosing terms become spans of kind ``term`` wherever they stand in the document, outside entities;
 ``sanitise`` generalises entities to their kind and removes such terms.
 
-Only documents with entities take part in shuffles, without their texts; candidate terms are
-broadcast only when they are few (counted), otherwise joined by a shuffle.
+Only documents with entities take part in shuffles, and of them only terms and places.  Terms too
+frequent to disclose any entity, by the bound PMI <= log2(N / max(n_t, n_e)), are left out of the joins.
 """
 
 from __future__ import annotations
@@ -19,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_KEYS, Scratch
+from .common import Scratch
 from .line_dedup import bound
 
 KINDS = ("email", "ip", "card", "phone")
@@ -38,6 +44,10 @@ PATTERNS = {
 _HINT = {"email": "@", "ip": ".", "phone": "+"}
 _PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _TERM = "\\p{L}{3,}+"
+#: Pieces of a long text that cut no run of letters.
+_PIECE = "(?s).{1,2000}\\p{L}*+"
+#: Of the smoothed frequency of a term.
+PSEUDO = 0.5
 
 
 def located(text: Column, pattern: str) -> Column:
@@ -97,21 +107,34 @@ def entities(text: Column) -> Column:
     return F.concat(*(of(k) for k in KINDS))
 
 
-def _surroundings(text: Column, reach: int) -> Column:
-    """For a span x of the text: terms beside it, (s, e, m in lower case), and a hash of the surroundings.
+def _terms(text: Column) -> Column:
+    """array<struct<s, e, m in lower case>> of all terms; piece by piece, since located() is quadratic in the matches."""
 
-    A term that the window cuts is left out.
-    """
+    def of(piece: Column) -> Column:
+        return F.transform(located(piece["m"], _TERM), lambda t: F.struct((t["s"] + piece["s"]).alias("s"), (t["e"] + piece["s"]).alias("e"), F.lower(t["m"]).alias("m")))
+
+    return F.flatten(F.transform(located(text, _PIECE), of))
+
+
+def _keys(x: Column) -> Column:
+    """array<struct<exact, key>>: the entity, and what it has in common with its like."""
+    kind, m = x["kind"], x["m"]
+    key = lambda exact, *parts: F.struct(F.lit(exact).alias("exact"), F.concat(kind, F.lit(" "), *parts).alias("key"))
+    wide = F.when(kind == "email", F.array(key(False, F.substring_index(m, "@", 1), F.lit("@")), key(False, F.lit("@"), F.lower(F.substring_index(m, "@", -1)))))
+    wide = wide.when(kind == "ip", F.array(key(False, F.substring_index(m, ".", 3), F.lit("."))))
+    wide = wide.otherwise(F.array(key(False, F.substring(_digits(m), 1, 6))))
+    return F.concat(F.array(key(True, m)), wide)
+
+
+def _occurrences(text: Column, found: Column, reach: int) -> Column:
+    """array<struct<exact, key, place>>: the keys of the entities with a hash of the surroundings."""
 
     def around(x: Column) -> Column:
         lo = F.greatest(x["s"] - reach, F.lit(0))
-        before, after = F.substring(text, lo + 1, x["s"] - lo), F.substring(text, x["e"] + 1, F.lit(reach))
-        left = F.filter(located(before, _TERM), lambda t: (lo == 0) | (t["s"] > 0))
-        right = F.filter(located(after, _TERM), lambda t: t["e"] < reach)
-        moved = lambda a, by: F.transform(a, lambda t: F.struct((t["s"] + by).alias("s"), (t["e"] + by).alias("e"), F.lower(t["m"]).alias("m")))
-        return F.struct(x["m"].alias("entity"), F.xxhash64(before, after).alias("place"), F.concat(moved(left, lo), moved(right, x["e"])).alias("terms"))
+        place = F.xxhash64(F.substring(text, lo + 1, x["s"] - lo), F.substring(text, x["e"] + 1, F.lit(reach)))
+        return F.transform(_keys(x), lambda k: F.struct(k["exact"].alias("exact"), k["key"].alias("key"), place.alias("place")))
 
-    return around
+    return F.flatten(F.transform(found, around))
 
 
 def personal_data(
@@ -131,31 +154,48 @@ def personal_data(
     scratch = Scratch(docs.sparkSession, "pii")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     found = texts.select("doc_id", "text", entities(F.col("text")).alias("found"))
-    around = F.transform("found", _surroundings(F.col("text"), reach))
-    found = scratch.put(found.select("doc_id", "found", F.when(F.size("found") > 0, around).alias("around")), "found")
-
-    beside = found.where("around is not null").select("doc_id", F.explode("around").alias("a")).select("doc_id", F.col("a.entity").alias("entity"), F.col("a.place").alias("place"), F.explode("a.terms").alias("t"))
-    beside = beside.select("doc_id", "entity", "place", F.col("t.m").alias("term"), F.col("t.s").alias("s"), F.col("t.e").alias("e"))
-    # distinct first, so that copies combine before they meet
-    places = beside.select("entity", "term", "place").distinct().groupBy("entity", "term").agg(F.count("*").alias("places")).where(F.col("places") >= support).select("entity", "term")
-    pairs = scratch.put(places, "pairs")
-    together = beside.join(pairs, ["entity", "term"], "left_semi").select("entity", "term", "doc_id").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_te"))
-    of_entity = found.select("doc_id", F.explode("found.m").alias("entity")).join(pairs.select("entity").distinct(), "entity", "left_semi").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
-    wanted = pairs.select("term").distinct()
-    if wanted.limit(BROADCAST_KEYS // 4 + 1).count() <= BROADCAST_KEYS // 4:
-        wanted = F.broadcast(wanted)
-    words = texts.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(_TERM), F.lit(0)))).alias("term"))
-    of_term = words.join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
-    n = texts.agg(F.count("*").alias("n")).scalar()
-    disclosing = together.join(of_entity, "entity").join(of_term, "term").withColumn("n", n.cast("double"))
-    pmi, ic = F.log2(F.col("n_te") * F.col("n") / (F.col("n_t") * F.col("n_e"))), F.log2(F.col("n") / F.col("n_e"))
-    disclosing = scratch.put(disclosing.where((ic > 0) & (pmi >= share * ic)).select("entity", "term"), "disclosing")
-
-    spans = beside.join(disclosing, ["entity", "term"], "left_semi").groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct(F.lit("term").alias("kind"), "s", "e"))).alias("terms"))
-    bare = lambda c: F.transform(c, lambda x: F.struct(x["kind"].alias("kind"), x["s"].alias("s"), x["e"].alias("e")))
-    out = found.select("doc_id", bare(F.col("found")).alias("base")).join(spans, "doc_id", "left")
-    apart = F.filter(F.coalesce("terms", F.array().cast("array<struct<kind:string,s:int,e:int>>")), lambda t: ~F.exists("base", lambda b: (t["s"] < b["e"]) & (b["s"] < t["e"])))
-    return out.select("doc_id", "base", apart.alias("terms"))
+    some = F.size("found") > 0
+    text = F.col("text")
+    found = found.select(
+        "doc_id",
+        "found",
+        F.when(some, F.xxhash64("text")).alias("row"),
+        F.when(some, _occurrences(text, F.col("found"), reach)).alias("around"),
+        F.when(some, _terms(text)).alias("words"),
+    )
+    found = scratch.put(found, "found")
+
+    # a document counts once for a key, in one of its surroundings
+    hit = found.where("row is not null")
+    held = hit.select("doc_id", "row", F.explode("around").alias("a")).groupBy("doc_id", "row", "a.exact", "a.key").agg(F.min("a.place").alias("place"))
+    held = scratch.put(held, "held")
+    keys = held.groupBy("exact", "key", "place").agg(F.count("*").alias("n")).groupBy("exact", "key").agg(F.sum("n").alias("n_e"), F.count("*").alias("of_e"))
+    keys = scratch.put(keys.where(F.col("exact") | (F.col("of_e") >= support)), "keys")
+    n = texts.count() or 1
+    bound_of = lambda n_e: F.lit(n ** (1 - share) * (1 + 1e-9)) * F.pow(n_e.cast("double"), F.lit(share))
+    words = texts.select(F.explode(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(_TERM), F.lit(0)), F.lower))).alias("term"))
+    rare = words.groupBy("term").agg(F.count("*").alias("n_t")).where(F.col("n_t") <= bound_of(F.lit(keys.agg(F.max("n_e")).first()[0] or 0)))
+    rare = scratch.put(rare, "rare")
+    terms = hit.select("doc_id", "row", F.explode(F.array_distinct(F.transform("words", lambda t: t["m"]))).alias("term")).distinct().join(rare, "term")
+    # written first, since only plain exchanges are split where a key is hot
+    held = scratch.put(held.join(keys, ["exact", "key"]), "known")
+    pairs = scratch.put(held.join(terms, ["doc_id", "row"]).where(F.col("n_t") <= bound_of(F.col("n_e"))), "pairs")
+    both = ["exact", "key", "term"]
+    met = pairs.groupBy(*both, "place").agg(F.count("*").alias("n"), F.first("n_t").alias("n_t"), F.first("n_e").alias("n_e"), F.first("of_e").alias("of_e"))
+    met = met.groupBy(*both).agg(F.sum("n").alias("n_te"), F.count("*").alias("of_te"), F.first("n_t").alias("n_t"), F.first("n_e").alias("n_e"), F.first("of_e").alias("of_e"))
+    pmi = F.log2(F.col("n_te") * F.lit(float(n)) / (F.col("n_t") * F.col("n_e")))
+    smooth = F.log2(F.col("n_te") / F.col("n_e") * (n + PSEUDO) / (F.col("n_t") + PSEUDO))
+    least = share * F.log2(F.lit(float(n)) / F.col("n_e"))
+    often, always = F.col("of_te") >= support, F.col("exact") & (F.col("of_te") >= F.col("of_e"))
+    disclosing = scratch.put(met.where((least > 0) & ((often & (pmi >= least)) | (always & (smooth >= least)))).select(*both), "disclosing")
+
+    told = pairs.join(disclosing, both, "left_semi").groupBy("doc_id", "row").agg(F.collect_set("term").alias("told"))
+    out = found.join(told, ["doc_id", "row"], "left")
+    bare = F.transform("found", lambda x: F.struct(x["kind"].alias("kind"), x["s"].alias("s"), x["e"].alias("e")))
+    said = F.filter("words", lambda t: F.array_contains("told", t["m"]) & ~F.exists("found", lambda b: (t["s"] < b["e"]) & (b["s"] < t["e"])))
+    spans = F.transform(said, lambda t: F.struct(F.lit("term").alias("kind"), t["s"].alias("s"), t["e"].alias("e")))
+    none = F.array().cast("array<struct<kind:string,s:int,e:int>>")
+    return out.select("doc_id", bare.alias("base"), F.when(F.col("told").isNull(), none).otherwise(spans).alias("terms"))
 
 
 def sanitise(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

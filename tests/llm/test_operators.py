@@ -175,6 +175,17 @@ def test_pii_disclosing_term(spark):
     assert clean[0] == "axx wrote that  [EMAIL] answered eyy today"
 
 
+def test_pii_once_seen_entities(spark):
+    filler = [f"some plain words about thing number {i}" for i in range(1200)]
+    rows = ["Zanzibarov " + "plain words " * 30 + "ann@one.example some words"]  # far from its address, both once
+    rows += [f"words about Quuxcorp some thing {k} {'abcdefghjk'[k]}@quux.example number plain" for k in range(10)]
+    rows += ["plain words bob@two.example about thing", "nothing but plain words of Quuxcorp"]
+    got = [[(t.s, t.e) for t in r.terms] for r in pii.personal_data(spark.createDataFrame(list(enumerate(rows + filler)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert got[0] == [(0, 10)]
+    assert all(x == [(12, 20)] for x in got[1:11])
+    assert not any(got[11:])
+
+
 def test_tiling_catches_reordered():
     a = np.arange(20, dtype=np.uint64)
     doc = np.concatenate([[99] * 5, a[10:], [98] * 5, a[:10], [97] * 5]).astype(np.uint64)
