@@ -1,5 +1,6 @@
 import hashlib
 import re
+import textwrap
 from collections import Counter
 
 import duckdb
@@ -158,6 +159,16 @@ def test_licenses(spark, docs, empty):
     assert licenses.licenses(empty).count() == 0 == licenses.licenses(docs).count()
 
 
+@pytest.mark.parametrize("mark", ["", "# ", " * "])
+def test_licenses_wrapped_and_embedded(mark):
+    for name in ("MIT", "GPL-3.0"):
+        lines = ["int x = 1;", *(mark + x for x in textwrap.wrap(licenses.TEMPLATES[name][1], 72)), "return x"]
+        assert [r[2] for r in licenses.notices("\n".join(lines))] == [name]
+    inside = "x y z " * 900 + "the code is Released under the MIT License and so on " + "x y z " * 900
+    start = inside.index("Released")
+    assert [r[:3] for r in licenses.notices(inside)] == [(start, start + 30, "MIT")]
+
+
 def test_pii(spark, empty):
     texts = ["mail a.b@c.d.e now", "ip 1.2.3.4.5.6.7.8 and 300.1.1.1", "4111 1111 1111 1111 or 4111 1111 1111 1112", "+1 (743) 555-3824 +12", "é 😀 x@y.zz_q@w.ee", None, "1" * 50_000, "@" * 5000 + "+" * 5000]
     got = {r.doc_id: r for r in pii.digests(pii.personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))).collect()}
