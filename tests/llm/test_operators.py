@@ -161,7 +161,7 @@ def test_licenses(spark, docs, empty):
 
 @pytest.mark.parametrize("mark", ["", "# ", " * "])
 def test_licenses_wrapped_and_embedded(mark):
-    for name in ("MIT", "GPL-3.0"):
+    for name in ("MIT", "GPL-3.0", "AGPL-3.0"):
         lines = ["int x = 1;", *(mark + x for x in textwrap.wrap(licenses.TEMPLATES[name][1], 72)), "return x"]
         assert [r[2] for r in licenses.notices("\n".join(lines))] == [name]
     inside = "x y z " * 900 + "the code is Released under the MIT License and so on " + "x y z " * 900
@@ -169,6 +169,19 @@ def test_licenses_wrapped_and_embedded(mark):
     assert [r[:3] for r in licenses.notices(inside)] == [(start, start + 30, "MIT")]
 
 
+def test_licenses_name_and_version_veto():
+    said = {
+        "This work is licensed under the GNU General Public License, version 2.": ["GPL-2.0"],
+        "This work is licensed under the GNU Affero General Public License, version 3.": ["AGPL-3.0"],
+        "Licensed under CC BY-ND 4.0.": ["CC-BY-ND-4.0"],
+        "Licensed under CC BY-ND 2.5.": [],
+        "Released under the ISC License.": [],
+        "Released under the BSD 4-Clause License.": [],
+        "This work is licensed under the GNU General Public License, version 1.": [],
+    }
+    assert {t: [r[2] for r in licenses.notices(t)] for t in said} == said
+
+
 def test_pii(spark, empty):
     texts = ["mail a.b@c.d.e now", "ip 1.2.3.4.5.6.7.8 and 300.1.1.1", "4111 1111 1111 1111 or 4111 1111 1111 1112", "+1 (743) 555-3824 +12", "é 😀 x@y.zz_q@w.ee", None, "1" * 50_000, "@" * 5000 + "+" * 5000]
     got = {r.doc_id: r for r in pii.digests(pii.personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))).collect()}
