@@ -1,19 +1,25 @@
 """Main text of web pages by wrapper induction.
 
-Every page of a host is aligned with the host's reference page (its smallest id) by simple tree
-matching: the largest set of node pairs that keeps tags, parents and order.  A block of the reference
-whose text is the same on the aligned node of most other pages is template; what varies is content.
-Copies of one page count once.  Beside the induced template, elements that say by name that they are
-no article (menus, forms, adverts, comments and the like) are left out, and where the page marks its
-article, blocks outside it are.
-
-One pass parses and aligns; its blocks are written, the votes are summed map-side for each host and
-node, and the rest is DataFrame work.  References and templates are broadcast only when they are
-small (checked), otherwise joined by host.
+A block is the text of one block element; its key is the text with the tags on the path to it.  All
+pages of a host vote, with no reference page: a key is template
+
+* if it stands on most of the host's pages, or
+* on most of the pages of one shape (the set of tag paths of the blocks, cut at depth SHAPE), or
+* if of the pages that are alike but for this key (the same other repeated keys), most hold it,
+
+and on LEAST_PAGES pages in each case.  The last two find the layouts of a host that has several; there
+only blocks outside a marked article count, and only pages of which at least half of the keys are their
+own, since what near copies of an article share is content.  What varies is content.  Copies of one page count once.  Beside the induced template, elements that say by
+name that they are no article (menus, forms, adverts, comments and the like) are left out, and where
+the page marks its article, blocks outside it are.
+
+One pass parses; its blocks are written, the votes are hashes and summed map-side, and the rest is
+DataFrame work.  Templates are broadcast only when they are small (checked), otherwise joined by page.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 from collections.abc import Iterator
@@ -24,11 +30,9 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 
-#: A node is template if its text is the same on this share of the host's other pages, and on so many.
-SHARE, LEAST_PAGES = 0.5, 3
+#: A key is template on this share of the pages, and on so many.
+SHARE, LEAST_PAGES, SHAPE = 0.5, 3, 4
 MOST_REFERENCE_CHARS = 16_000_000
-#: Children beyond so many are aligned in order, not by the quadratic table.
-MOST_CELLS = 4096
 
 # HTML element names.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -48,12 +52,14 @@ _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("article", "children", "dropped", "number", "parent", "tag", "text")
+    __slots__ = ("article", "dropped", "parent", "path", "tag")
 
-    def __init__(self, tag: str, parent: Node | None, number: int, dropped: bool, article: bool):
-        self.tag, self.parent, self.number, self.dropped, self.article = tag, parent, number, dropped, article
-        self.children: list[Node] = []
-        self.text = ""
+    def __init__(self, tag: str, parent: Node | None, dropped: bool, article: bool):
+        self.tag, self.parent, self.dropped, self.article = tag, parent, dropped, article
+        # a hash of the path, so that deep trees cost no more than flat ones; up to SHAPE also that of the cut path
+        above = parent.path if parent else (0, b"", b"")
+        name = hashlib.blake2b(above[1] + tag.encode(errors="replace"), digest_size=8).digest()
+        self.path = (above[0] + 1, name, name if above[0] <= SHAPE else above[2])
 
 
 def _other(tag: str, attributes: str, in_article: bool) -> bool:
@@ -64,10 +70,10 @@ def _other(tag: str, attributes: str, in_article: bool) -> bool:
     return any(w in OTHER for m in _NAMES.finditer(attributes) for w in re.split(r"[\s_-]+", (m[1] or m[2] or m[3] or "").lower()))
 
 
-def parse(page: str) -> tuple[Node, list[tuple[Node, str]]]:
-    """The tree, and the blocks (nearest block element, text) in page order."""
-    root = Node("#root", None, 0, False, False)
-    at, count, blocks, run, held = root, 1, [], [], root
+def parse(page: str) -> list[tuple[Node, str]]:
+    """The blocks (nearest block element, text) in page order."""
+    root = Node("#root", None, False, False)
+    at, blocks, run, held = root, [], [], root
 
     def flush() -> None:
         nonlocal run
@@ -75,7 +81,6 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, str]]]:
             text = _SPACE.sub(" ", html.unescape("".join(run))).strip()
             if text:
                 blocks.append((held, text))
-                held.text = f"{held.text}\n{text}" if held.text else text
             run = []
 
     pos, n = 0, len(page)
@@ -114,9 +119,7 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, str]]]:
         if tag == "br":
             continue
         article = at.article or tag in ("article", "main")
-        node = Node(tag, at, count, at.dropped or _other(tag, m[3], at.article), article)
-        count += 1
-        at.children.append(node)
+        node = Node(tag, at, at.dropped or _other(tag, m[3], at.article), article)
         if tag in VOID or m[3].endswith("/"):
             continue
         if tag in RAW:  # no markup inside
@@ -125,89 +128,31 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, str]]]:
             continue
         at = node
     flush()
-    return root, blocks
-
-
-def align(a: Node, b: Node) -> dict[int, Node]:
-    """Simple tree matching: node number in b -> matched node of a, for the largest matching of the two trees."""
-    sizes: dict[tuple[int, int], int] = {}
-
-    def size(x: Node, y: Node) -> int:
-        key = (x.number, y.number)
-        if key not in sizes:
-            sizes[key] = 1 + (table(x, y)[-1][-1] if x.children and y.children else 0) if x.tag == y.tag else 0
-        return sizes[key]
-
-    def table(x: Node, y: Node) -> list[list[int]]:
-        rows = [[0] * (len(y.children) + 1)]
-        for c in x.children:
-            row = [0]
-            for j, d in enumerate(y.children):
-                row.append(max(row[j], rows[-1][j + 1], rows[-1][j] + (size(c, d) if c.tag == d.tag else 0)))
-            rows.append(row)
-        return rows
-
-    matched: dict[int, Node] = {}
-    todo = [(a, b)]
-    while todo:
-        x, y = todo.pop()
-        matched[y.number] = x
-        if not x.children or not y.children:
-            continue
-        if len(x.children) * len(y.children) > MOST_CELLS:
-            todo += [(c, d) for c, d in zip(x.children, y.children, strict=False) if c.tag == d.tag]
-            continue
-        rows = table(x, y)
-        i, j = len(x.children), len(y.children)
-        while i and j:
-            if rows[i][j] == rows[i - 1][j]:
-                i -= 1
-            elif rows[i][j] == rows[i][j - 1]:
-                j -= 1
-            else:
-                i, j = i - 1, j - 1
-                todo.append((x.children[i], y.children[j]))
-    return matched
+    return blocks
 
 
-def _deep(root: Node, limit: int = 400) -> bool:
-    """Deeper than the recursion of the matching should go."""
-    level = [root]
-    for _ in range(limit):
-        level = [c for x in level for c in x.children]
-        if not level:
-            return False
-    return True
+_BLOCK = pa.list_(pa.struct([("text", pa.string()), ("key", pa.int64()), ("article", pa.bool_())]))
 
 
-_BLOCK = pa.list_(pa.struct([("text", pa.string()), ("ref", pa.int32()), ("same", pa.bool_()), ("article", pa.bool_())]))
+def _hash(*parts: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(b"\0".join(parts), digest_size=8).digest(), "little", signed=True)
 
 
-def _aligned(pages: DataFrame, references: dict[str, str] | None) -> DataFrame:
-    """(page_id, url, host, blocks); the reference comes from the dictionary or from a column reference."""
+def _parsed(pages: DataFrame) -> DataFrame:
+    """(page_id, url, host, blocks, shape, body); body is a hash of all blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trees: dict[str, tuple[Node, bool]] = {}
         for batch in batches:
-            known = [references.get(h) for h in batch.column(2).to_pylist()] if references is not None else batch.column(4).to_pylist()
-            out = []
-            for host, page, ref in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), known, strict=True):
-                tree, blocks = parse(page or "")
-                if host not in trees:
-                    if len(trees) > 200:
-                        trees.clear()
-                    other = parse(ref or "")[0]
-                    trees[host] = (other, _deep(other))
-                other, deep = trees[host]
-                matched = {} if deep or _deep(tree) else align(other, tree)
-                rows = []
-                for node, text in blocks:
-                    mate = matched.get(node.number)
-                    rows.append({"text": text, "ref": mate.number if mate else -1, "same": bool(mate) and mate.text == node.text, "article": node.article})
+            out, shapes, bodies = [], [], []
+            for page in batch.column(3).to_pylist():
+                blocks = parse(page or "")
+                rows = [{"text": text, "key": _hash(node.path[1], text.encode(errors="replace")), "article": node.article} for node, text in blocks]
                 out.append(rows)
-            yield pa.record_batch([batch.column(0), batch.column(1), batch.column(2), pa.array(out, _BLOCK)], names=["page_id", "url", "host", "blocks"])
+                shapes.append(_hash(*sorted({node.path[2] for node, _ in blocks})))
+                bodies.append(_hash(*(x["key"].to_bytes(8, "little", signed=True) for x in rows)))
+            yield pa.record_batch([*batch.columns[:3], pa.array(out, _BLOCK), pa.array(shapes, pa.int64()), pa.array(bodies, pa.int64())], names=["page_id", "url", "host", "blocks", "shape", "body"])
 
-    return pages.mapInArrow(run, "page_id long, url string, host string, blocks array<struct<text:string,ref:int,same:boolean,article:boolean>>")
+    return pages.mapInArrow(run, "page_id long, url string, host string, blocks array<struct<text:string,key:long,article:boolean>>, shape long, body long")
 
 
 def main_text(pages: DataFrame, share: float = SHARE, least_pages: int = LEAST_PAGES, most_reference_chars: int = MOST_REFERENCE_CHARS) -> DataFrame:
@@ -215,28 +160,40 @@ def main_text(pages: DataFrame, share: float = SHARE, least_pages: int = LEAST_P
 
     pages has page_id, url, html.  Null html counts as empty and gives an empty text; null urls make up
     a host of their own.  Repeated rows each give their row; further columns are ignored; an empty
-    table gives an empty one.  Trees too deep to match are read without a template.
+    table gives an empty one.
     """
     scratch = Scratch(pages.sparkSession, "html")
     host = F.coalesce(F.lower(F.regexp_extract("url", "^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", host.alias("host"), "html")
-    first = pages.groupBy("host").agg(F.min("page_id").alias("page_id"))
-    first = scratch.put(first, "first")
-    refs = scratch.put(pages.join(F.broadcast(first) if first.limit(100_001).count() <= 100_000 else first, ["host", "page_id"]).groupBy("host").agg(F.min("html").alias("reference")), "references")
-    if (refs.agg(F.sum(F.length("reference") + F.length("host"))).first()[0] or 0) <= most_reference_chars:
-        parsed = _aligned(pages, {r["host"]: r["reference"] for r in refs.toLocalIterator()})
-    else:
-        parsed = _aligned(pages.join(refs, "host").select("page_id", "url", "host", "html", "reference"), None)
-    body = F.xxhash64(F.filter("blocks", lambda b: ~b["same"])["text"])
-    parsed = scratch.put(parsed.withColumn("body", body), "blocks")
-
-    votes = parsed.where(F.exists("blocks", lambda b: ~b["same"])).select("host", "body", F.explode(F.array_distinct(F.transform(F.filter("blocks", lambda b: b["same"]), lambda b: b["ref"]))).alias("ref"))
-    votes = votes.distinct().groupBy("host", "ref").agg(F.count("*").alias("votes"))
-    sizes = parsed.where(F.exists("blocks", lambda b: ~b["same"])).select("host", "body").distinct().groupBy("host").agg(F.count("*").alias("bodies"))
-    template = votes.join(sizes, "host").where((F.col("votes") >= share * F.col("bodies")) & (F.col("votes") >= least_pages)).groupBy("host").agg(F.collect_list("ref").alias("template"))
-    template = scratch.put(template, "template")
-    few = template.limit(10_001).count() <= 10_000
-    out = parsed.join(F.broadcast(template) if few else template, "host", "left")
+    parsed = scratch.put(_parsed(pages), "blocks")
+
+    bodies = parsed.select("host", "body", "shape", F.array_distinct(F.transform("blocks", lambda b: F.struct(b["key"].alias("key"), b["article"].alias("article")))).alias("keys")).where(F.size("keys") > 0)
+    bodies = scratch.put(bodies.groupBy("host", "body", "shape").agg(F.first("keys").alias("keys")), "bodies")
+    held = bodies.select("host", "body", "shape", F.explode("keys").alias("k")).select("host", "body", "shape", "k.key", "k.article")
+    often = held.groupBy("host", "key").agg(F.count("*").alias("n")).where(F.col("n") >= least_pages)
+    often = scratch.put(often.join(bodies.groupBy("host").agg(F.count("*").alias("of")), "host").select("host", "key", (F.col("n") >= share * F.col("of")).alias("most")), "often")
+    held = scratch.put(held.join(often, ["host", "key"]), "held")
+    # a set of keys is known by the exclusive or of their hashes
+    sets = held.groupBy("host", "body").agg(F.bit_xor(F.when(~F.col("article"), F.col("key"))).alias("set"), F.count("*").alias("repeated"))
+    own = F.size("keys") >= 2 * F.coalesce("repeated", F.lit(0))
+    sets = bodies.join(sets, ["host", "body"], "left").select("host", "body", "shape", F.coalesce("set", F.lit(0)).alias("set"), own.alias("own"))
+    sets = scratch.put(sets, "sets")
+    alike = scratch.put(sets.where("own").groupBy("host", "set").agg(F.count("*").alias("n")), "alike")
+    known = scratch.put(held.join(sets.select("host", "body", "set", "own"), ["host", "body"]), "known")
+    votes = known.where("own and not article")
+    shapes = sets.where("own").groupBy("host", "shape").agg(F.count("*").alias("of"))
+    of_shape = votes.groupBy("host", "shape", "key").agg(F.count("*").alias("n")).where(F.col("n") >= least_pages).join(shapes, ["host", "shape"]).where(F.col("n") >= share * F.col("of"))
+    of_shape = scratch.put(of_shape.select("host", "shape", "key", F.lit(True).alias("shaped")), "shapes")
+    whole = votes.select("host", "set", "key").distinct().join(alike.where(F.col("n") >= least_pages), ["host", "set"])
+    less = alike.select("host", F.col("set").alias("rest"), F.col("n").alias("without"))
+    of_set = whole.withColumn("rest", F.col("set").bitwiseXOR(F.col("key"))).join(less, ["host", "rest"], "left").where(F.col("n") >= share * (F.col("n") + F.coalesce("without", F.lit(0))))
+    of_set = scratch.put(of_set.select("host", "set", "key", F.lit(True).alias("alike")), "alike-but-one")
+    kinds = known.select("host", "shape", "set", "key", "most").distinct().join(of_shape, ["host", "shape", "key"], "left").join(of_set, ["host", "set", "key"], "left")
+    kinds = kinds.where(F.col("most") | F.col("shaped") | F.col("alike")).groupBy("host", "shape", "set").agg(F.collect_set("key").alias("template"))
+    kinds = scratch.put(kinds, "kinds")
+    template = scratch.put(sets.join(kinds, ["host", "shape", "set"]).select("host", "body", "template"), "template")
+    chars = template.agg(F.sum(F.length("host") + 8 * (F.size("template") + 1))).first()[0] or 0
+    out = parsed.join(F.broadcast(template) if chars <= most_reference_chars else template, ["host", "body"], "left")
     marked = F.exists("blocks", lambda b: b["article"])
-    kept = F.filter("blocks", lambda b: (b["article"] | ~marked) & ~(b["same"] & F.coalesce(F.array_contains("template", b["ref"]), F.lit(False))))
+    kept = F.filter("blocks", lambda b: (b["article"] | ~marked) & ~F.coalesce(F.array_contains("template", b["key"]), F.lit(False)))
     return out.select("page_id", "url", F.array_join(F.transform(kept, lambda b: b["text"]), "\n").alias("text"))

@@ -152,6 +152,20 @@ def test_html_references_joined(spark):
     assert small == large and [t for _, _, t in small] == [str(i) for i in range(5)]
 
 
+def test_html_template_without_reference(spark):
+    words = lambda k: f"<p>text {k}<p>more {k * 7}"
+    rows = [(0, "")]  # an empty page comes first
+    rows += [(i, f"<p>old {i}") for i in range(1, 3)]  # boilerplate is not on the first pages
+    rows += [(i, f"<div>Welcome {i % 3}</div>{words(i)}<div>End {i % 3}</div>") for i in range(3, 30)]  # three layouts
+    flat = [(100 + i, "".join(f"<p>w{i} {j}" for j in range(66 + i)) + "<p>The end") for i in range(5)]  # more than 65 x 65 children
+    deep = [(200 + i, "<div>" * 500 + f"deep {i}</div><p>Bye") for i in range(5)]
+    df = [(i, "http://h/x", t) for i, t in rows] + [(i, "http://flat/x", t) for i, t in flat] + [(i, "http://deep/x", t) for i, t in deep]
+    got = {r.page_id: r.text for r in html_extract.main_text(spark.createDataFrame(df, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"text {i}\nmore {i * 7}" for i in range(3, 30))
+    assert all("The end" not in got[100 + i] and got[100 + i].count("\n") == 65 + i for i in range(5))
+    assert all(got[200 + i] == f"deep {i}" for i in range(5))
+
+
 def test_licenses(spark, docs, empty):
     rows = [(1, "Text. Released under the MIT License."), (2, "é\nLicensed under CC BY-NC 4.0.\nmore"), (3, "You need a license to drive a car in most countries of the world."), (4, None)]
     got = {(r.doc_id, r.start, r.end, r.license, r.n_different) for r in licenses.licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
