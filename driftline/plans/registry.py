@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths, times, tokenizer, words
@@ -192,6 +192,18 @@ def context_windows(spark: SparkSession, sf: str) -> DataFrame:
     return scoring.contexts(lines).select("doc_id", F.col("pos").cast("long").alias("pos"), said("before").alias("before"), said("after").alias("after"))
 
 
+def _said(c: str) -> Column:
+    return F.array_join(F.transform(c, lambda x: F.md5(x.cast("binary"))), ",")
+
+
+@query(None)
+def scored_context_windows(spark: SparkSession, sf: str) -> DataFrame:
+    """Contexts of the target lines farther than the threshold from every baseline line."""
+    target, scored = _scored(spark, sf)
+    marked = target.join(scored, ["index_name", "words"]).withColumn("anomaly", F.col("distance") > P.THRESHOLD)
+    return scoring.contexts(marked).select("doc_id", F.col("pos").cast("long").alias("pos"), _said("before").alias("before"), _said("after").alias("after"))
+
+
 @query(f"WITH {EVENTS} SELECT event_id, regexp_matches(line, '{_rx('|'.join(P.ERROR_LINE))}') AS is_error FROM event_lines")
 def error_line_filter(spark: SparkSession, sf: str) -> DataFrame:
     return _event_lines(spark, sf).select("event_id", words.is_error_line(F.col("line")).alias("is_error"))
@@ -243,6 +255,14 @@ def unknown_index_anti(spark: SparkSession, sf: str) -> DataFrame:
     return lines.join(known, "index_name", "left_anti").select("index_name", "source").distinct()
 
 
+@query(None)
+def unknown_index_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Indexes, by source, that no line of any baseline document has."""
+    lines = _lines(spark, sf).select("index_name", "source")
+    known = lines.where(F.col("source").isin(*BASELINE)).select("index_name").distinct()
+    return lines.join(known, "index_name", "left_anti").distinct()
+
+
 @query(f"WITH {LINES}, s AS (SELECT md5(line) AS line, index_name, source FROM lines WHERE source IN {BASELINE}) SELECT index_name, line, count(DISTINCT source) AS n_models FROM s GROUP BY ALL")
 def model_merge_distinct(spark: SparkSession, sf: str) -> DataFrame:
     lines = _lines(spark, sf).where(F.col("source").isin(*BASELINE))

@@ -1,4 +1,5 @@
 import gzip
+import hashlib
 import math
 import tarfile
 
@@ -96,3 +97,30 @@ def test_stream(spark, tmp_path):
     base = spark.createDataFrame([("i", ["here", "known", "line"])], "index_name string, words array<string>")
     score_stream(spark.readStream.schema(rows.schema).json(str(tmp_path / "in")), base, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
     assert [r.line for r in spark.read.parquet(str(tmp_path / "out")).collect()] == ["something else entirely"]
+
+
+def _tables(spark, folder, rows):
+    """Documents of (lang, source, doc_id, text) as a table of its own."""
+    spark.createDataFrame(rows, "lang string, source string, doc_id long, text string").write.parquet(f"{folder}/documents.parquet")
+    return str(folder)
+
+
+def test_scored_context_windows(spark, tmp_path):
+    known = [f"step {k} of the work is done" for k in range(40)]
+    text = [*known[:13], "the disk burns badly", *known[13:15], "a fan stopped spinning", *known[15:30], "last words unheard"]
+    rows = [("en", "src1", 1, "\n".join(known)), ("en", "src9", 2, "\n".join(text))]
+    got = {r.pos: (r.before, r.after) for r in registry.queries()["scored_context_windows"](spark, _tables(spark, tmp_path, rows)).collect()}
+
+    def said(lines):
+        return ",".join(hashlib.md5(x.encode()).hexdigest() for x in lines)
+
+    sets = [set(x.split()) for x in known]
+    far = [k for k, x in enumerate(text) if max(len(s & set(x.split())) / math.sqrt(len(s) * len(set(x.split()))) for s in sets) < 0.7]
+    assert [text[k] for k in far] == ["the disk burns badly", "a fan stopped spinning", "last words unheard"]
+    assert got == {14: (said(text[10:13]), said(text[14:16])), 17: ("", said(text[17:20])), 33: (said(text[29:32]), "")}
+
+
+def test_unknown_index_all(spark, tmp_path):
+    rows = [("en", "src1", 1, "a"), ("de", "src5", 4, "b"), ("en", "src9", 5, "c"), ("de", "src9", 7, "d"), ("fr", "src9", 8, "e"), ("fr", "src8", 9, "f\ng")]
+    got = sorted(map(tuple, registry.queries()["unknown_index_all"](spark, _tables(spark, tmp_path, rows)).collect()))
+    assert got == [("fr", "src8"), ("fr", "src9")]
