@@ -204,6 +204,18 @@ def scored_context_windows(spark: SparkSession, sf: str) -> DataFrame:
     return scoring.contexts(marked).select("doc_id", F.col("pos").cast("long").alias("pos"), _said("before").alias("before"), _said("after").alias("after"))
 
 
+def _token_scored(spark: SparkSession, sf: str) -> DataFrame:
+    known = F.col("source").isin(*BASELINE)
+    return scoring.token_scored(_lines(spark, sf).where(~known), _lines(spark, sf).where(known))
+
+
+@query(None)
+def token_report(spark: SparkSession, sf: str) -> DataFrame:
+    """Anomalies with contexts of all target lines: tokenise, first per key, score, threshold, report-wide dedupe."""
+    found = scoring.contexts(_token_scored(spark, sf), "index_name", "source", "distance", "in_report").where("in_report")
+    return found.select("index_name", "source", "doc_id", F.col("pos").cast("long").alias("pos"), F.round("distance", 6).alias("distance"), _said("before").alias("before"), _said("after").alias("after"))
+
+
 @query(f"WITH {EVENTS} SELECT event_id, regexp_matches(line, '{_rx('|'.join(P.ERROR_LINE))}') AS is_error FROM event_lines")
 def error_line_filter(spark: SparkSession, sf: str) -> DataFrame:
     return _event_lines(spark, sf).select("event_id", words.is_error_line(F.col("line")).alias("is_error"))

@@ -124,3 +124,36 @@ def test_unknown_index_all(spark, tmp_path):
     rows = [("en", "src1", 1, "a"), ("de", "src5", 4, "b"), ("en", "src9", 5, "c"), ("de", "src9", 7, "d"), ("fr", "src9", 8, "e"), ("fr", "src8", 9, "f\ng")]
     got = sorted(map(tuple, registry.queries()["unknown_index_all"](spark, _tables(spark, tmp_path, rows)).collect()))
     assert got == [("fr", "src8"), ("fr", "src9")]
+
+
+def test_token_report(spark, tmp_path):
+    known = [f"connect from client number {k} with session closed" for k in range(5)] + ["service started normally without warnings", "noise"]
+    text = ["connect from client number 77 with session closed", "service started normally without warnings", "kernel panic happened suddenly at 12", "noise", "kernel panic happened suddenly at 99", "single"]
+    rows = [("en", "src1", 1, "\n".join(known)), ("en", "src7", 2, "\n".join(text)), ("en", "src8", 3, "\n".join(text)), ("fr", "src8", 4, text[2])]
+
+    def key(line):
+        return tuple(sorted(w for w in tokenizer.tokenize(line).split(" ") if not w.startswith("%")))
+
+    def sets(lines):
+        first = {}
+        for x in lines:
+            first.setdefault(key(x), {w for w in tokenizer.tokenize(x).split(" ") if w})
+        return first
+
+    base, want, reported = sets(known), [], set()
+    for index, parts in (("en", rows[1:3]), ("fr", rows[3:])):
+        seen = set()
+        for _, source, doc, body in parts:
+            for pos, x in enumerate(body.split("\n"), 1):
+                if key(x) in seen:
+                    continue
+                seen.add(key(x))
+                words = sets([x])[key(x)]
+                near = max((len(words & b) / math.sqrt(len(words) * len(b)) for b in base.values() if words and b), default=0) if index == "en" else 0
+                if 1 - near > 0.3 and key(x) not in reported:
+                    reported.add(key(x))
+                    want.append((index, source, doc, pos, round(1 - near, 6)))
+    got = registry.queries()["token_report"](spark, _tables(spark, tmp_path, rows)).collect()
+    assert sorted((r.index_name, r.source, r.doc_id, r.pos, r.distance) for r in got) == sorted(want)
+    assert [r[1:4] for r in want] == [("src7", 2, 3)]
+    assert (got[0].before.count(",") + 1, got[0].after.count(",") + 1) == (2, 3)
