@@ -6,9 +6,11 @@ same place, so a repeated window always shows as a repeated fingerprint, while a
 twelve is indexed.  Each indexed position also carries the hash of its context (all words that any
 window with this minimiser can cover).
 
-The index is a set of immutable runs, each sorted by fingerprint: (fp, n, places).  A batch of new
-texts becomes one run; it is merge-joined with the runs there are; when there are more than
-``most_runs``, they are merged into one.  Fingerprints seen at two places or more are verified:
+The index is a set of immutable runs, each sorted by fingerprint: (fp, n).  A batch of new texts
+becomes one run; when there are more than ``most_runs``, they are merged into one.  ``known`` can
+merge-join a batch with the runs, but the query does not: it counts the fingerprints of all runs in
+one global aggregate.  Fingerprints seen at two places or more are verified:
+Fingerprints seen at two places or more are verified:
 
 * equal contexts (128 bits with the fingerprint) prove all windows of the position repeated;
 * where one fingerprint has several contexts, one position of each context hands out its windows
