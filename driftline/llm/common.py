@@ -15,10 +15,12 @@ BROADCAST_KEYS = 1_000_000
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Only where the setting is missing (tests in one process) is a folder made here.
+    Only where the setting is missing and all runs in one process (tests) is a folder made here.
     """
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not conf:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         conf = "file://" + tempfile.mkdtemp(prefix="driftline-")
         spark.conf.set("spark.checkpoint.dir", conf)
     return conf.rstrip("/")
@@ -46,10 +48,12 @@ class Scratch:
         return out
 
     def drop(self, *tables: DataFrame) -> None:
-        jvm = self.spark._jvm
         for df in tables:
-            where = jvm.org.apache.hadoop.fs.Path(df._driftline_path)
-            where.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+            self.delete(df._driftline_path)
+
+    def delete(self, path: str) -> None:
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
 
 
 def restrict(df: DataFrame, keys: DataFrame, key: str, most: int = BROADCAST_KEYS) -> DataFrame:
@@ -62,8 +66,8 @@ def restrict(df: DataFrame, keys: DataFrame, key: str, most: int = BROADCAST_KEY
     return df.join(keys, key, "left_semi")
 
 
-def union_find(spark: SparkSession, scratch: Scratch, edges: DataFrame, rounds: int = 40) -> DataFrame:
-    """Connected components by alternating large-star and small-star steps.
+def union_find(spark: SparkSession, scratch: Scratch, edges: DataFrame) -> DataFrame:
+    """Connected components by alternating large-star and small-star steps, until a round changes no edge.
 
     ``edges`` has long columns a and b (any order, a != b).  Returns (node, root), root the smallest
     node of the component, for every node of an edge.  All state is in tables; a node with many
@@ -71,8 +75,7 @@ def union_find(spark: SparkSession, scratch: Scratch, edges: DataFrame, rounds:
     before they are joined, since AQE splits a hot key only between two plain exchanges.
     """
     edges = scratch.put(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    before = None
-    for _ in range(rounds):
+    while True:
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = scratch.put(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "low")
         large = scratch.put(both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large")
@@ -80,13 +83,10 @@ def union_find(spark: SparkSession, scratch: Scratch, edges: DataFrame, rounds:
         small = large.join(down, "a")
         small = small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(down.select("a", F.col("m").alias("b")))
         new = scratch.put(small.distinct(), "edges")
-        # converged: every node points once to its root, and no root points on
-        now = new.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b") % 1_000_003), F.lit(0))).first()
+        # two sets of distinct edges are equal if they are as many and none is new
+        settled = new.count() == edges.count() and new.join(edges, ["a", "b"], "left_anti").isEmpty()
         scratch.drop(edges, low, large, down)
         edges = new
-        if now == before:
+        if settled:
             break
-        before = now
-    else:
-        raise RuntimeError("components did not settle")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

@@ -28,8 +28,13 @@ def _full(line: Column) -> Column:
     return line.rlike("[^\\x20\\x09-\\x0D]")
 
 
+def _row_key(id_col: str, text_col: str) -> Column:
+    """Names a document: rows of one id and text are one."""
+    return F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text"))
+
+
 def window_places(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(id, at, w1, w2): each window of ``width`` consecutive lines with words; at counts such lines from 0."""
+    """(row, at, w1, w2): each window of ``width`` consecutive lines with words; at counts such lines from 0."""
     lines = F.filter(F.split(F.coalesce(text_col, F.lit("")), "\n", -1), _full)
     both = F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit(width), x).alias("b")))
 
@@ -38,7 +43,7 @@ def window_places(docs: DataFrame, id_col: str, text_col: str, width: int) -> Da
         at = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
         return F.transform(at, lambda i: F.struct(i.alias("at"), F.xxhash64(*(F.get(h, i + k)["a"] for k in range(width))).alias("w1"), F.xxhash64(*(F.get(h, i + k)["b"] for k in range(width))).alias("w2")))
 
-    return docs.select(F.col(id_col).alias("id"), F.inline(bound(both, windows)))
+    return docs.select(_row_key(id_col, text_col).alias("row"), F.inline(bound(both, windows)))
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
@@ -46,21 +51,27 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     A line goes if a window of ``width`` lines that covers it has an equal window earlier in the order
     of (id, line); the first occurrence stays.  The other lines, blank ones too, stay as they are,
-    joined by ``\\n``.  Null text stays null; texts with fewer lines stay whole; ids are distinct.
-    Further columns are kept, but for own ``n_lines`` and ``n_removed``, which are replaced.
+    joined by ``\\n``.  Null text stays null; texts with fewer lines stay whole; a null id comes before
+    all others.  Repeated rows (equal id and text) are one document and come out alike; of different
+    texts under one id, the one with the smaller hash is the earlier.  Further columns are kept,
+    whatever their names, but for own ``n_lines`` and ``n_removed``, which are replaced.  An empty table
+    gives an empty one.
     """
     scratch = Scratch(docs.sparkSession, "line-dedup")
     places = scratch.put(window_places(docs, id_col, text_col, width), "windows")
-    firsts = places.groupBy("w1", "w2").agg(F.min(F.struct("id", "at")).alias("first"), F.count("*").alias("n"))
+    firsts = places.groupBy("w1", "w2").agg(F.min(F.struct("row", "at")).alias("first"), F.count("*").alias("n"))
     firsts = scratch.put(firsts.where("n > 1").select("w1", "w2", "first"), "repeated")
-    later = places.join(firsts, ["w1", "w2"]).where(F.struct("id", "at") > F.col("first"))
-    marks = later.groupBy(F.col("id").alias(id_col)).agg(F.collect_set("at").alias("__at"))
-    joined = docs.join(marks, id_col, "left")
-
-    text = F.coalesce(text_col, F.lit(""))
+    later = places.join(firsts, ["w1", "w2"]).where(F.struct("row", "at") > F.col("first"))
+    marks = later.groupBy("row").agg(F.collect_set("at").alias("at")).select(F.col("row").alias("marked"), "at")
+    # own columns travel in a struct, where their names clash with nothing
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("own"), _row_key(id_col, text_col).alias("row"))
+    joined = rows.join(marks, F.col("row.id").eqNullSafe(F.col("marked.id")) & (F.col("row.text") == F.col("marked.text")), "left")
+
+    own = F.col("own")
+    text = F.coalesce(own[text_col], F.lit(""))
     lines = F.split(text, "\n", -1)
     # number the lines with words, then drop those that a marked window covers
-    gone = F.array_distinct(F.flatten(F.transform("__at", lambda p: F.sequence(p, p + width - 1))))
+    gone = F.array_distinct(F.flatten(F.transform("at", lambda p: F.sequence(p, p + width - 1))))
 
     def keep(parts: Column) -> Column:
         full = F.filter(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: _full(F.get(parts, i)))
@@ -71,10 +82,10 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     n_lines = F.size(F.filter(lines, _full)).cast("long")
     # most texts have no mark, and a text that is covered from end to end keeps its blank lines only
     return joined.select(
-        *[c for c in docs.columns if c not in (text_col, "n_lines", "n_removed")],
+        *[own[c].alias(c) for c in docs.columns if c not in (text_col, "n_lines", "n_removed")],
         n_lines.alias("n_lines"),
         F.coalesce(F.size(gone), F.lit(0)).cast("long").alias("n_removed"),
-        F.when(F.col("__at").isNull(), F.col(text_col)).otherwise(bound(lines, keep)).alias(text_col),
+        F.when(F.col("at").isNull(), own[text_col]).otherwise(bound(lines, keep)).alias(text_col),
     )
 
 

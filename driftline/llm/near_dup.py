@@ -29,14 +29,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, restrict, union_find
-from .textops import Words, inside_one, mix, text_slices, window_hashes
+from .textops import Words, mix, text_slices, window_hashes
 
 SHINGLE = 5
 BANDS, ROWS = 40, 4
 SIMILAR = 75  # percent
 #: A pair whose sketches agree in fewer bins is not verified; at similarity 0.75 this lies 4.4 standard deviations down.
 LEAST_AGREEING = 0.6
-BLOCK = 512
+#: A block of a bucket has about so many rows and so many shingles (4 bytes each) at the most.
+BLOCK, BLOCK_SHINGLES = 512, 1 << 19
 FIRST_BANDS = 8
 
 
@@ -135,7 +136,7 @@ def verified(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, widt
     sets = with_sets(restrict(docs.select(id_col, text_col), ids, id_col), id_col, text_col, width)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in batches:  # Spark bounds a batch by bytes, too
             both, union = [], []
             for x, y in zip(batch.column("xa"), batch.column("xb"), strict=True):
                 a, b = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (x, y))
@@ -168,12 +169,12 @@ def _cross_pairs(members: DataFrame, similar: int, rows_of_band: int) -> DataFra
     A pair is compared only in the first band it shares.  Short sets count every common shingle, and by
     collision at most a few more: what they refuse is no link, what they let through is verified.
 
-    members (bucket, band, id, root, n, sketch, short, main, size, others): main is the component with most of the
-    bucket's size rows, others the number of rows outside it.  Each row of the others is a query
-    against all rows; queries and targets are dealt into blocks of about BLOCK rows, and a block of
-    queries meets a block of targets in one group.
+    members (bucket, band, id, root, n, sketch, short, main, size, others, weight): main is the component with
+    most of the bucket's size rows, others the number of rows outside it, weight the shingles of all rows.
+    Each row of the others is a query against all rows; queries and targets are dealt into blocks of
+    bounded rows and shingles, and a block of queries meets a block of targets in one group.
     """
-    number = lambda count: F.greatest(F.ceil(F.col(count) / BLOCK).cast("int"), F.lit(1))
+    number = lambda count: F.greatest(F.least(F.greatest(F.ceil(F.col(count) / BLOCK), F.ceil(F.col("weight") / BLOCK_SHINGLES)).cast("int"), F.col(count).cast("int")), F.lit(1))
     block = lambda count: F.pmod(F.xxhash64("id"), number(count)).cast("int")
     steps = lambda count: F.sequence(F.lit(0), number(count) - 1)
     place = lambda i, j, query: F.struct(i.alias("i"), j.alias("j"), F.lit(query).alias("query"))
@@ -251,26 +252,27 @@ def near_duplicates(
     """One row for each document: (id_col, n_shingles, component_id, kept).
 
     Documents are linked whose sets have 100 * intersection >= ``similar`` * union; ``component_id`` is
-    the smallest id reachable, ``kept`` says that it is the row's own.  Ids are distinct long values.
-    Null or word-less text: an empty set, linked with nothing.  An empty table gives an empty one;
-    further columns are ignored.
+    the smallest id reachable, ``kept`` says that it is the row's own.  Ids name texts: repeated rows
+    each give their row, alike.  A row without an id is linked with nothing, and kept.  Null or
+    word-less text: an empty set, linked with nothing.  An empty table gives an empty one; further
+    columns are ignored.
     """
     spark, rows_per_band = docs.sparkSession, rows
     scratch = Scratch(spark, "near-dup")
     feats = scratch.put(features(docs, id_col, text_col, width, bands, rows), "features")
     # texts of one set: the smallest id stands for all
-    same = feats.where("n_shingles > 0").groupBy("fp1", "fp2", "n_shingles").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
+    same = feats.where("n_shingles > 0 and id is not null").groupBy("fp1", "fp2", "n_shingles").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
     same = scratch.put(same, "sets")
-    reps = feats.join(same.select(F.col("rep").alias("id")), "id", "left_semi")
+    reps = feats.join(same.select(F.col("rep").alias("id"), "fp1", "fp2"), ["id", "fp1", "fp2"], "left_semi")
     reps = scratch.put(reps.select("id", F.col("n_shingles").alias("n"), "sketch", "bands"), "reps")
 
     ids = reps.select("id", "n", "sketch")
 
     def labelled(roots: DataFrame | None, some: int) -> DataFrame:
         """(bucket, id, root) over the first bands."""
-        own = reps.select("id", "bands")
+        own = reps.select("id", "n", "bands")
         own = own.withColumn("root", F.col("id")) if roots is None else own.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-        return own.select("id", "root", F.posexplode(F.slice("bands", 1, some)).alias("band", "bucket"))
+        return own.select("id", "n", "root", F.posexplode(F.slice("bands", 1, some)).alias("band", "bucket"))
 
     links = roots = None
     for some in (FIRST_BANDS, bands):
@@ -286,9 +288,10 @@ def near_duplicates(
 
     # what is still apart within a bucket
     rows = labelled(roots, bands)
-    sizes = rows.groupBy("bucket", "root").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("m"), F.sum("n").alias("size"), F.count("*").alias("k"))
-    sizes = scratch.put(sizes.where("k > 1").select("bucket", F.col("m.root").alias("main"), "size", (F.col("size") - F.col("m.n")).alias("others")), "apart")
-    crossing = scratch.put(rows.join(sizes, "bucket"), "crossing")
+    sizes = rows.groupBy("bucket", "root").agg(F.count("*").alias("rows"), F.sum("n").alias("w")).groupBy("bucket")
+    sizes = sizes.agg(F.max(F.struct("rows", "root")).alias("m"), F.sum("rows").alias("size"), F.sum("w").alias("weight"), F.count("*").alias("k"))
+    sizes = scratch.put(sizes.where("k > 1").select("bucket", F.col("m.root").alias("main"), "size", "weight", (F.col("size") - F.col("m.rows")).alias("others")), "apart")
+    crossing = scratch.put(rows.drop("n").join(sizes, "bucket"), "crossing")
     apart = scratch.put(crossing.select(F.col("id").alias(id_col)).distinct(), "crossing-ids")
     near = ids.join(short_sets(restrict(docs.select(id_col, text_col), apart, id_col), id_col, text_col, width), "id")
     rest = scratch.put(_cross_pairs(crossing.join(near, "id"), similar, rows_per_band).distinct(), "pairs")
@@ -297,5 +300,5 @@ def near_duplicates(
 
     label = same.join(root_of.withColumnRenamed("node", "rep"), "rep", "left").select("fp1", "fp2", "n_shingles", F.coalesce("root", "rep").alias("component_id"))
     out = feats.select("id", "n_shingles", "fp1", "fp2").join(label, ["fp1", "fp2", "n_shingles"], "left")
-    out = out.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
-    return out.withColumn("kept", F.col(id_col) == F.col("component_id"))
+    root = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
+    return out.select(F.col("id").alias(id_col), "n_shingles", root.alias("component_id"), F.col("id").eqNullSafe(root).alias("kept"))

@@ -1,17 +1,19 @@
 """Quality rules: base counts, then a hashed n-gram log-likelihood ratio; DataFrame operations only.
 
-N-grams (lower case; ``n`` words, one by default) are hashed into ``buckets``.  Two multinomials are
-counted over them, one over all documents and one over the trusted documents (labels with quality 1).
-A document's score is the mean over its n-grams of
+N-grams (single words up to ``n`` words in a row, lower case) are hashed into buckets.  Two multinomials
+are counted over them, one over all documents and one over the trusted documents (labels with
+quality 1).  A document's score is the mean over its n-grams of
 
     log((t_b + k f) / (r_b + k)) - log f,      f = trusted n-grams / all n-grams,
 
 that is the log-likelihood ratio of trusted to raw, divided by length; k pulls buckets with few
-counts towards 0, so that words seen once decide nothing.  Documents under ``least`` are rejected:
+counts towards 0, so that n-grams seen once decide nothing.  Documents under ``least`` are rejected:
 the threshold is fixed, no sampling.
 
-The counts combine map-side into at most ``buckets`` rows a task; they reach the scoring plan as a
-scalar subquery of ``buckets`` doubles, a size that does not depend on the data.
+The number of buckets grows with the corpus as a vocabulary does, with the square root of its
+characters: 16,384 at least, half a million at 30 GB, 32 million (256 MB of doubles) at 100 TB.  The counts
+combine map-side into at most as many rows a task; they reach the scoring plan as a scalar
+subquery of one double a bucket.
 """
 
 from __future__ import annotations
@@ -22,15 +24,20 @@ from pyspark.sql import functions as F
 from .common import BROADCAST_KEYS
 from .line_dedup import bound
 
-BUCKETS = 16_384
+LEAST_BUCKETS = 16_384
 PRIOR = 100.0
-LEAST = -0.1
-N = 1
+LEAST = -0.06
+N = 2
 #: Up to so many different repeated windows of a text are looked up one by one; more are found by a sort.
 FEW = 16
 SPACE = "[\\x20\\x09-\\x0D]+"
 
 
+def buckets_for(chars: int) -> int:
+    """The power of two from 2.5 * sqrt(chars) on."""
+    return max(LEAST_BUCKETS, 1 << (int(2.5 * max(chars, 1) ** 0.5) - 1).bit_length())
+
+
 def words_of(text: Column) -> Column:
     bare = F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\x0b\x0c\r"))
     return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, SPACE, -1))
@@ -41,10 +48,17 @@ def _steps(n: Column) -> Column:
     return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
 
 
-def buckets_of(words: Column, n: int, buckets: int) -> Column:
-    """array<int> of the buckets of all n-grams of an array of lower-case words."""
-    rest = lambda h: F.slice(h, 1, F.greatest(F.size(h) - n + 1, F.lit(0)))
-    return bound(words, lambda h: F.transform(rest(h), lambda x, i: F.pmod(F.xxhash64(x, *(F.get(h, i + k) for k in range(1, n))), F.lit(buckets)).cast("int")))
+def _bucket(buckets: int, *words: Column) -> Column:
+    return F.pmod(F.xxhash64(*words), F.lit(buckets)).cast("int")
+
+
+def grams_of(words: Column, n: int, buckets: int) -> Column:
+    """array<int> of the buckets of all n-grams, 1 to n words long, of an array of lower-case words."""
+
+    def long(h: Column, k: int) -> Column:
+        return F.transform(F.slice(h, 1, F.greatest(F.size(h) - k + 1, F.lit(0))), lambda x, i: _bucket(buckets, x, *(F.get(h, i + j) for j in range(1, k))))
+
+    return bound(words, lambda h: F.concat(*(long(h, k) for k in range(1, n + 1))))
 
 
 def counts(docs: DataFrame, trusted: DataFrame, n: int, buckets: int) -> DataFrame:
@@ -53,11 +67,7 @@ def counts(docs: DataFrame, trusted: DataFrame, n: int, buckets: int) -> DataFra
     if trusted.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
         marked = F.broadcast(marked)
     texts = docs.join(marked, "id", "left")
-    if n == 1:  # hashed after the explode, in generated code
-        words = texts.select("t", F.explode(words_of(F.lower("text"))).alias("word"))
-        grams = words.select("t", F.pmod(F.xxhash64("word"), F.lit(buckets)).cast("int").alias("bucket"))
-    else:
-        grams = texts.select("t", F.explode(buckets_of(words_of(F.lower("text")), n, buckets)).alias("bucket"))
+    grams = texts.select("t", F.explode(grams_of(words_of(F.lower("text")), n, buckets)).alias("bucket"))
     return grams.groupBy("bucket").agg(F.count("*").alias("r"), F.count("t").alias("t"))
 
 
@@ -101,7 +111,7 @@ def quality_rules(
     id_col: str = "doc_id",
     text_col: str = "text",
     n: int = N,
-    buckets: int = BUCKETS,
+    buckets: int | None = None,
     prior: float = PRIOR,
     least: float = LEAST,
 ) -> DataFrame:
@@ -109,49 +119,59 @@ def quality_rules(
 
     labels (doc_id, quality): documents with quality 1 are trusted.  A null or empty text has no words,
     fails the base rules and scores 0.  Without trusted documents every score is 0 and the base rules
-    decide.  Own columns of these names are replaced; repeated rows are judged alike.
+    decide.  A null id is not trusted and judged like any other.  Repeated rows are judged alike; other
+    columns are kept, whatever their names, but own ones of the names above are replaced.  An empty
+    table gives an empty one.  ``buckets``: by the size of the corpus if not given (one more pass).
     """
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    if buckets is None:
+        buckets = buckets_for(texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
     trusted = labels.where("quality = 1").select(F.col("doc_id").alias("id")).where("id is not null").distinct()
     w = weights(counts(texts, trusted, n, buckets), buckets, prior).scalar()
-    own = [c for c in docs.columns if c not in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept")]
+    added = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept")
+
+    def score(words: Column, w: Column) -> Column:
+        def of(h: Column) -> Column:
+            def around(x: Column, i: Column) -> Column:
+                found = [F.get(w, _bucket(buckets, x))]
+                found += [F.when(i < F.size(h) - k + 1, F.get(w, _bucket(buckets, x, *(F.get(h, i + j) for j in range(1, k))))).otherwise(0.0) for k in range(2, n + 1)]
+                return sum(found[1:], found[0])
+
+            return F.aggregate(F.transform(h, around), F.lit(0.0), lambda acc, x: acc + x)
 
-    def score(words: Column) -> Column:
-        weight = lambda b: F.get(F.col("__w"), b)
-        if n == 1:
-            total = F.aggregate(words, F.lit(0.0), lambda acc, x: acc + weight(F.pmod(F.xxhash64(F.lower(x)), F.lit(buckets)).cast("int")))
-        else:
-            total = F.aggregate(buckets_of(F.transform(words, F.lower), n, buckets), F.lit(0.0), lambda acc, b: acc + weight(b))
-        grams = F.size(words) - n + 1
-        return F.when(grams > 0, total / grams).otherwise(F.lit(0.0))
+        grams = sum((F.greatest(F.size(words) - k, F.lit(0)) for k in range(1, n)), F.size(words))
+        return F.when(F.size(words) > 0, bound(F.transform(words, F.lower), of) / grams).otherwise(F.lit(0.0))
 
     def judge(words: Column) -> Column:
         return F.struct(
             F.size(words).cast("long").alias("n_words"),
             F.length(F.array_join(words, "")).cast("long").alias("word_chars"),
             repeat_words(words).cast("long").alias("n_repeat_words"),
-            score(words).alias("score"),
+            score(words, F.col("w")).alias("score"),
         )
 
-    full = F.coalesce(F.col(text_col), F.lit(""))
+    # own columns travel in a struct, where their names clash with nothing; the subquery is a column of
+    # its own, as lambdas may not hold one
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("own")).withColumn("w", w)
+    own = F.col("own")
+    full = F.coalesce(own[text_col], F.lit(""))
     lines = F.filter(F.split(full, "\n", -1), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
-    # the subquery is a column of its own, as lambdas may not hold one
-    out = docs.withColumn("__w", w).select(
-        *own,
-        bound(words_of(F.col(text_col)), judge).alias("__b"),
+    out = rows.select(
+        "own",
+        bound(words_of(own[text_col]), judge).alias("b"),
         F.regexp_count(full, F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
         bound(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
     )
-    n_words, repeat = F.col("__b.n_words"), F.col("__b.n_repeat_words")
+    n_words, repeat = F.col("b.n_words"), F.col("b.n_repeat_words")
     failed = (n_words < 50) | (100 * repeat > 50 * n_words)
     return out.select(
-        *own,
+        *[own[c].alias(c) for c in docs.columns if c not in added],
         n_words.alias("n_words"),
-        F.col("__b.word_chars").alias("word_chars"),
+        F.col("b.word_chars").alias("word_chars"),
         "n_symbols",
         "n_dup_lines",
         repeat.alias("n_repeat_words"),
         failed.alias("base_failed"),
-        F.col("__b.score").alias("score"),
-        (~failed & (F.col("__b.score") >= least)).alias("kept"),
+        F.col("b.score").alias("score"),
+        (~failed & (F.col("b.score") >= least)).alias("kept"),
     )

@@ -6,22 +6,23 @@ same place, so a repeated window always shows as a repeated fingerprint, while a
 twelve is indexed.  Each indexed position also carries the hash of its context (all words that any
 window with this minimiser can cover).
 
-The index is a set of immutable runs, each sorted by fingerprint: (fp, n).  A batch of new texts
-becomes one run; when there are more than ``most_runs``, they are merged into one.  ``known`` can
-merge-join a batch with the runs, but the query does not: it counts the fingerprints of all runs in
-one global aggregate.  Fingerprints seen at two places or more are verified:
-Fingerprints seen at two places or more are verified:
+The index is log-structured: immutable runs (fp, n), each bucketed and sorted by fingerprint, one row a
+fingerprint, so that a hot one cannot swell a bucket.  A batch of new texts becomes one run, which is
+merge-joined with each stored run (equal buckets, no shuffle): what some run has, or what stands twice in the
+batch, is a hit.  When there are more than ``most_runs`` runs, they are merged two by two, again bucket by
+bucket.  Beside the runs the index keeps the places (row, at, fp, ctx) of each batch.  Hits are verified:
 
 * equal contexts (128 bits with the fingerprint) prove all windows of the position repeated;
 * where one fingerprint has several contexts, one position of each context hands out its windows
-  (128-bit hashes of exactly ``width`` words), which are counted over all texts.
+  (two 64-bit hashes, to different bases, of exactly ``width`` words), which are counted over all texts.
 
-Only such positions cost a row per window.  All joins are equi-joins on hashes or ids, which Spark
-can split where a key is hot; counts of hot fingerprints combine before the shuffle.
+Only such positions cost a row per window.  All joins are equi-joins on hashes, which Spark can split where
+a key is hot; counts of hot fingerprints combine before the shuffle.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,8 +35,12 @@ from .textops import Words, _word_powers, mix, text_slices, window_hashes
 
 WIDTH = 35
 GRAM = 10
-MOST_RUNS = 4
-BATCHES = 2
+MOST_RUNS = 2
+BATCHES = 4
+#: Rows of a run in one bucket, about.
+BUCKET_ROWS = 2_000_000
+#: Of the second hash of a window.
+_OTHER_BASE = 0x2545F4914F6CDD1D
 
 
 def _minimisers(values: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -68,87 +73,87 @@ def _texts(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, np.ndarray
             yield row + i, values[words.first[i] : words.first[i + 1]], words, i
 
 
-def fingerprints(docs: DataFrame, id_col: str, text_col: str, width: int, gram: int) -> DataFrame:
-    """(id, at, fp, ctx) of every minimiser of every whole text."""
+def fingerprints(rows: DataFrame, width: int, gram: int) -> DataFrame:
+    """(row, at, fp, ctx) of every minimiser of every whole text of rows (row, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy()
+            keys = batch.column(0).to_numpy()
             own, ats, fps, ctxs = [], [], [], []
             for row, values, _, _ in _texts(batch, 1):
                 if len(values) >= width:
                     at, fp, ctx, _, _ = _minimisers(values, width, gram)
-                    own.append(np.full(len(at), ids[row]))
+                    own.append(np.full(len(at), keys[row]))
                     ats.append(at)
                     fps.append(fp)
                     ctxs.append(ctx)
             if own:
-                yield pa.record_batch([pa.array(np.concatenate(own)), pa.array(np.concatenate(ats).astype(np.int32)), pa.array(np.concatenate(fps).view(np.int64)), pa.array(np.concatenate(ctxs).view(np.int64))], names=["id", "at", "fp", "ctx"])
+                yield pa.record_batch([pa.array(np.concatenate(own)), pa.array(np.concatenate(ats).astype(np.int32)), pa.array(np.concatenate(fps).view(np.int64)), pa.array(np.concatenate(ctxs).view(np.int64))], names=["row", "at", "fp", "ctx"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, at int, fp long, ctx long")
+    return rows.select("row", "text").mapInArrow(run, "row long, at int, fp long, ctx long")
 
 
 class FingerprintIndex:
-    """Immutable sorted runs of (fp, n): how many places of the texts so far have the fingerprint."""
-
-    def __init__(self, spark: SparkSession, scratch: Scratch, most_runs: int = MOST_RUNS):
-        self.spark, self.scratch, self.most_runs = spark, scratch, most_runs
-        self.runs: list[DataFrame] = []
-
-    def _run(self, counted: DataFrame, name: str) -> DataFrame:
-        return self.scratch.put(counted.sortWithinPartitions("fp"), name)
-
-    def append(self, found: DataFrame) -> None:
-        """Add the fingerprints of a batch as one run; compact when there are too many runs."""
-        self.runs.append(self._run(found.groupBy("fp").agg(F.count("*").alias("n")), "run"))
+    """Immutable runs (fp, n), bucketed and sorted by fp: how many places of the texts so far have it."""
+
+    def __init__(self, spark: SparkSession, scratch: Scratch, buckets: int, most_runs: int = MOST_RUNS):
+        self.spark, self.scratch, self.buckets, self.most_runs = spark, scratch, buckets, most_runs
+        self.runs: list[str] = []
+
+    def _run(self, counted: DataFrame) -> str:
+        name = f"driftline_run_{uuid.uuid4().hex}"
+        dealt = counted.repartition(self.buckets, "fp")
+        dealt.write.bucketBy(self.buckets, "fp").sortBy("fp").option("path", f"{self.scratch.root}/{name}").saveAsTable(name)
+        return name
+
+    def _drop(self, *runs: str) -> None:
+        for name in runs:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+            self.scratch.delete(f"{self.scratch.root}/{name}")
+
+    def add(self, found: DataFrame) -> DataFrame:
+        """Make a batch of places one run; (fp) of those that an earlier run has or that stand twice in the batch."""
+        mine = self._run(found.groupBy("fp").agg(F.count("*").alias("n")))
+        new = self.spark.table(mine)
+        hits = new.where("n > 1").select("fp")
+        for run in self.runs:
+            hits = hits.union(new.join(self.spark.table(run).select("fp").hint("merge"), "fp", "left_semi").select("fp"))
+        hits = self.scratch.put(hits, "hits")
+        self.runs.append(mine)
         if len(self.runs) > self.most_runs:
             self.compact()
+        return hits
 
     def compact(self) -> None:
-        """Merge all runs into one."""
-        if len(self.runs) > 1:
-            old = self.runs
-            merged = old[0]
-            for run in old[1:]:
-                merged = merged.unionByName(run)
-            self.runs = [self._run(merged.groupBy("fp").agg(F.sum("n").alias("n")), "compacted")]
-            self.scratch.drop(*old)
-
-    def known(self, found: DataFrame) -> DataFrame:
-        """(fp): fingerprints of a new batch that some run already has, by merge joins; the batch is not added."""
-        new = found.select("fp").distinct()
-        hits = None
-        for run in self.runs:
-            hit = new.join(run.select("fp"), "fp", "left_semi")
-            hits = hit if hits is None else hits.union(hit)
-        return new.limit(0) if hits is None else hits.distinct()
+        """Merge all runs into one, two by two in the order of their fingerprints."""
+        while len(self.runs) > 1:
+            a, b = (self.spark.table(x).select("fp", F.col("n").alias(k)) for x, k in zip(self.runs[-2:], ("a", "b"), strict=True))
+            both = a.join(b.hint("merge"), "fp", "full_outer").select("fp", (F.coalesce("a", F.lit(0)) + F.coalesce("b", F.lit(0))).alias("n"))
+            merged = self._run(both)
+            self._drop(*self.runs[-2:])
+            self.runs[-2:] = [merged]
 
-    def repeated(self) -> DataFrame:
-        """(fp) seen at two places or more."""
-        self.compact()
-        return self.runs[0].where("n > 1").select("fp")
+    def close(self) -> None:
+        self._drop(*self.runs)
+        self.runs = []
 
 
-def _windows(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, width: int, gram: int) -> DataFrame:
-    """(id, w, h1, h2): the windows of the wanted (id, at) minimisers."""
-    places = wanted.groupBy(F.col("id").alias(id_col)).agg(F.collect_list("at").alias("ats"))
-    texts = restrict(docs.select(id_col, text_col), places.select(id_col), id_col).join(places, id_col)
+def _windows(rows: DataFrame, wanted: DataFrame, width: int, gram: int) -> DataFrame:
+    """(row, w, h1, h2): the windows of the wanted (row, at) minimisers."""
+    places = wanted.groupBy("row").agg(F.collect_set("at").alias("ats"))
+    texts = restrict(rows.select("row", "text"), places.select("row"), "row").join(places, "row")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, lists = batch.column(0).to_numpy(), batch.column(2)
-            out: list[list[np.ndarray]] = [[], [], [], []]
+            keys, lists = batch.column(0).to_numpy(), batch.column(2)
             for row, values, _, _ in _texts(batch, 1):
                 at, _, _, first, last = _minimisers(values, width, gram)
                 take = np.isin(at, np.asarray(lists[row].values))
                 starts = np.concatenate([np.arange(a, b + 1) for a, b in zip(first[take], last[take], strict=True)])
-                h1, h2 = window_hashes(values, width)[starts], window_hashes(mix(values ^ np.uint64(0x2545F4914F6CDD1D)), width)[starts]
-                for to, x in zip(out, (np.full(len(starts), ids[row]), starts.astype(np.int32), h1.view(np.int64), h2.view(np.int64)), strict=True):
-                    to.append(x)
-            if out[0]:
-                yield pa.record_batch([pa.array(np.concatenate(x)) for x in out], names=["id", "w", "h1", "h2"])
+                h1, h2 = window_hashes(values, width)[starts], window_hashes(mix(values ^ np.uint64(_OTHER_BASE)), width, other=True)[starts]
+                yield pa.record_batch([pa.array(np.full(len(starts), keys[row])), pa.array(starts.astype(np.int32)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64))], names=["row", "w", "h1", "h2"])
 
-    return texts.select(F.col(id_col).cast("long"), text_col, "ats").mapInArrow(run, "id long, w int, h1 long, h2 long")
+    return texts.select("row", "text", "ats").mapInArrow(run, "row long, w int, h1 long, h2 long")
 
 
 def _cover(n: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -166,37 +171,44 @@ def substring_dedup(
     width: int = WIDTH,
     gram: int = GRAM,
     batches: int = BATCHES,
+    most_runs: int = MOST_RUNS,
 ) -> DataFrame:
     """One row for each document: (id_col, n_words, n_removed, kept_text).
 
     A word goes if a window of ``width`` words that covers it also starts anywhere else, in the same
     or another text; windows are judged on the input.  ``kept_text`` joins the other words by one
-    space.  Null text: no words.  Texts shorter than a window keep all.  Further columns are
-    ignored; an empty table gives an empty one.  The texts are indexed in ``batches`` batches.
+    space.  Null text: no words.  Texts shorter than a window keep all.  Repeated rows are documents of
+    their own, and so copies of each other; ids may be null or repeat.  Further columns are ignored;
+    an empty table gives an empty one.  The texts are indexed in ``batches`` batches, whose number does
+    not change the result.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "substring")
-    docs = docs.select(F.col(id_col).cast("long").alias(id_col), text_col)
-    found = scratch.put(fingerprints(docs, id_col, text_col, width, gram), "places")
-    index = FingerprintIndex(spark, scratch)
-    for b in range(batches):
-        index.append(found.where(F.pmod(F.xxhash64("id"), F.lit(batches)) == b))
-    again = scratch.put(found.join(index.repeated(), "fp", "left_semi"), "repeated")
-    scratch.drop(found, *index.runs)
-
-    contexts = scratch.put(again.groupBy("fp", "ctx").agg(F.count("*").alias("n"), F.min(F.struct("id", "at")).alias("one")), "contexts")
+    rows = docs.select(F.xxhash64(id_col, text_col).alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    found = scratch.put(fingerprints(rows, width, gram), "places")
+    index = FingerprintIndex(spark, scratch, max(8, -(-found.count() // BUCKET_ROWS)), most_runs)
+    hits = [index.add(found.where(F.pmod(F.xxhash64("row"), F.lit(batches)) == b)) for b in range(batches)]
+    every = hits[0]
+    for more in hits[1:]:
+        every = every.union(more)
+    every = scratch.put(every.distinct(), "repeated")
+    again = scratch.put(restrict(found, every, "fp"), "again")
+    scratch.drop(found, *hits)
+    index.close()
+
+    contexts = scratch.put(again.groupBy("fp", "ctx").agg(F.count("*").alias("n"), F.min(F.struct("row", "at")).alias("one")), "contexts")
     several = contexts.groupBy("fp").agg(F.count("*").alias("k")).where("k > 1").select("fp")
     several = scratch.put(several, "several")  # written, so that AQE can split a hot key of the join
     # one place of each context of such a fingerprint hands out its windows
-    open_ = scratch.put(contexts.join(several, "fp", "left_semi").select("fp", "ctx", "n", F.col("one.id").alias("id"), F.col("one.at").alias("at")), "open")
-    windows = scratch.put(_windows(docs, open_.select("id", "at"), id_col, text_col, width, gram), "windows")
+    open_ = scratch.put(contexts.join(several, "fp", "left_semi").select(F.col("one.row").alias("row"), F.col("one.at").alias("at")), "open")
+    windows = scratch.put(_windows(rows, open_, width, gram), "windows")
     twice = windows.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2")
     twice = scratch.put(twice, "twice")
-    hits = windows.join(twice, ["h1", "h2"], "left_semi").select("id", "w")
+    single = windows.join(twice, ["h1", "h2"], "left_semi").select("row", "w")
     # intervals of words to remove: whole minimisers of repeated contexts, single windows for the rest
-    sure = again.join(contexts.where("n > 1").select("fp", "ctx"), ["fp", "ctx"], "left_semi").select("id", F.col("at").alias("x"), F.lit(True).alias("whole"))
-    marks = sure.union(hits.select("id", "w", F.lit(False)))
-    marks = scratch.put(marks.groupBy(F.col("id").alias(id_col)).agg(F.sort_array(F.collect_list(F.when(F.col("whole"), F.col("x")))).alias("whole"), F.sort_array(F.collect_list(F.when(~F.col("whole"), F.col("x")))).alias("single")), "marks")
+    sure = again.join(contexts.where("n > 1").select("fp", "ctx"), ["fp", "ctx"], "left_semi").select("row", F.col("at").alias("x"), F.lit(True).alias("whole"))
+    marks = sure.union(single.select("row", "w", F.lit(False)))
+    marks = scratch.put(marks.groupBy("row").agg(F.sort_array(F.collect_set(F.when(F.col("whole"), F.col("x")))).alias("whole"), F.sort_array(F.collect_set(F.when(~F.col("whole"), F.col("x")))).alias("single")), "marks")
 
     def run(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_:
@@ -221,9 +233,9 @@ def substring_dedup(
                 n_words.append(n)
                 n_removed.append(int(gone.sum()))
                 kept.append(b" ".join(left).decode())
-            yield pa.record_batch([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], names=[id_col, "n_words", "n_removed", "kept_text"])
+            yield pa.record_batch([batch.column(4), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], names=[id_col, "n_words", "n_removed", "kept_text"])
 
-    return docs.join(marks, id_col, "left").mapInArrow(run, f"`{id_col}` long, n_words long, n_removed long, kept_text string")
+    return rows.join(marks, "row", "left").select("row", "text", "whole", "single", "id").mapInArrow(run, f"`{id_col}` long, n_words long, n_removed long, kept_text string")
 
 
 def digests(result: DataFrame) -> DataFrame:

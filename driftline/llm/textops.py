@@ -18,6 +18,7 @@ _BASE = 0x9E3779B97F4A7C13
 _BASE_INV = pow(_BASE, -1, 1 << 64)
 _STEP = 0xD6E8FEB86659FD93
 _STEP_INV = pow(_STEP, -1, 1 << 64)
+_OTHER_STEP = 0xC2B2AE3D27D4EB4F
 
 IS_SPACE = np.zeros(256, dtype=bool)
 IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -67,6 +68,7 @@ class _Powers:
 
 _byte_powers = _Powers(_BASE, _BASE_INV)
 _word_powers = _Powers(_STEP, _STEP_INV)
+_other_powers = _Powers(_OTHER_STEP, pow(_OTHER_STEP, -1, 1 << 64))
 
 
 class Words:
@@ -116,33 +118,18 @@ class Words:
         return b" ".join(raw.split())
 
 
-def window_hashes(values: np.ndarray, width: int) -> np.ndarray:
-    """Hash of each run of ``width`` consecutive values, in order; len(values) - width + 1 of them."""
+def window_hashes(values: np.ndarray, width: int, other: bool = False) -> np.ndarray:
+    """Hash of each run of ``width`` consecutive values, in order; len(values) - width + 1 of them.  other: to another base."""
     n = len(values)
     if n < width:
         return np.zeros(0, dtype=np.uint64)
-    up, down = _word_powers(n + 1)
+    up, down = (_other_powers if other else _word_powers)(n + 1)
     total = np.zeros(n + 1, dtype=np.uint64)
     np.cumsum(values * up[:n], out=total[1:])
     return mix((total[width:] - total[:-width]) * down[: n - width + 1])
 
 
-def inside_one(first: np.ndarray, n_windows: int, width: int) -> np.ndarray:
-    """Mask of the windows over concatenated texts that do not run past their own text."""
-    ok = np.ones(n_windows, dtype=bool)
-    for cut in first[1:-1]:
-        ok[max(0, cut - width + 1) : cut] = False
-    return ok
-
-
-def fold(values: np.ndarray) -> int:
-    """Order-dependent hash of a whole array of 64-bit values."""
-    n = len(values)
-    up, _ = _word_powers(n + 1)
-    return int(mix(np.array([np.sum(mix(values) * up[:n], dtype=np.uint64) + np.uint64(n)]))[0])
-
-
-def text_slices(column: pa.Array, most_bytes: int = 1 << 21) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def text_slices(column: pa.Array, most_bytes: int = 1 << 18) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Cut a text column into runs of rows of about ``most_bytes``: (row, rows, bytes, offsets).
 
     A null text counts as empty.  A text is never cut: one longer than the bound comes alone.
