@@ -31,7 +31,7 @@ def index_name(path: Column) -> Column:
 
 def included(path: Column, includes: list[str] | None = None, excludes: tuple[str, ...] = P.EXCLUDED_PATHS) -> Column:
     """Whether a path is read: it matches an include, if any, and no exclude; .gz does not count."""
-    bare = F.regexp_replace(path, "\\.gz\\z", "")
+    bare = F.regexp_replace(path, "(\\.gz)+\\z", "")
     ok = ~bare.rlike("|".join(excludes)) if excludes else F.lit(True)
     return ok & bare.rlike("|".join(includes)) if includes else ok
 

@@ -12,7 +12,7 @@ ERROR_WORD = "(?i)^(error|fatal|failure|failed|warning|err|fail|warn|denied|asse
 HASH = "(?i)^(hash|sha|md)[0-9]*[:~]|\\.?[a-zA-Z0-9_+/-]{64}"
 HEX_LIKE = "^(?::*+[\\[\\]0-9a-fA-FxZ,][\\[\\]0-9a-fA-FxZ,:.\\-]*+|latest|none|rabbitmq-cluster-id-.*)+\\z"
 HEX_LIKE_LINEAR = "^(:*[\\[\\]0-9a-fA-FxZ,]+[:.\\-]*|(latest|none)|rabbitmq-cluster-id-.*)+$"
-CONSONANT = "[b-df-hj-np-tv-xz]"
+CONSONANT = "[b-df-hj-np-tv-xzB-DF-HJ-NP-TV-XZ]"
 VOWEL = "[aeiouyAEIOUY]"
 COOKIE = "^(gAAAA|AAAA|tx[a-z]|tap|req-|AUTH_)"
 UUID_TAIL = "^[a-zA-Z0-9].*-[a-zA-Z0-9]{4}-[a-zA-Z0-9]{4}-[a-zA-Z0-9]{4}-\\z"
@@ -40,13 +40,13 @@ NOISE = (
 ERROR_LINE = (
     "ERROR [0-9]{4}",
     "<title>503 Service Unavailable</title>",
-    " ERROR$",
+    " ERROR\\z",
     "\\|   \"msg\": \"",
     ": FAILED!",
     "\\| FAILED \\|",
     "\\| (fatal|failed|error): ",
-    "\\| The error appears to be in ",
-    "\\| failed: [1-9][0-9]*[ \\t]",
+    " The error appears to be in ",
+    " failed: [1-9][0-9]*[ \\t]",
     "stderr: 'error:",
     "\\|WARN\\|",
     "\\[EC [0-9]+\\]",
@@ -54,7 +54,7 @@ ERROR_LINE = (
     "[0-9Z][ \\t]+ERROR[ \\t]+[a-zA-Z]",
     "^FAIL: ",
     "^(ERROR|FAILED): ",
-    "\\.\\.\\. FAILED$",
+    "\\.\\.\\. FAILED\\z",
     "^<(failure|error) message=",
     "^E       ",
     "%\\] FAILED ",
@@ -63,8 +63,8 @@ ERROR_LINE = (
     "[ \\t]{2,}(Failed|Error|CrashLoopBackOff)[ \\t]{2,}[0-9]",
     "Warning[ \\t]+Failed[ \\t]+",
     "\\bE[0-9]{4}\\b",
-    "msg=\"error\"",
-    "msg=\"an error\"",
+    "msg=\"error",
+    "msg=\"an error",
     "\"level\":\"error\"",
     "\\blevel=error\\b",
 )

@@ -1,17 +1,19 @@
 """The line tokenizer: noise-free words, one space apart.
 
 It is stateful (some keys swallow the next word) and splits words again and again, so it is one
-Arrow function over distinct lines rather than a chain of columns.  A word is worked off a stack of
-pending parts; what a part leaves behind decides the glue that follows it.
+Arrow function rather than a chain of columns.  Parts of words are worked off an explicit stack, since a
+word may have thousands; what a part leaves behind decides the glue that follows it.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Generator, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from . import patterns as P
 
@@ -53,8 +55,8 @@ def _literal(w: str) -> str | None:
     return next((name for name, hit in tests if hit), None)
 
 
-def _word(raw: str, rest: Iterator[str]) -> tuple[str, bool]:
-    """(text, whether a word was added): the tokens of one word."""
+def _parts(raw: str, rest: Iterator[str]) -> Generator[str, tuple[str, bool], tuple[str, bool]]:
+    """The tokens of one word; yields its parts and is sent theirs."""
     w = _bare(raw)
     if not w:
         return "", False
@@ -65,32 +67,32 @@ def _word(raw: str, rest: Iterator[str]) -> tuple[str, bool]:
     if len(w.encode()) <= 3:
         return "", False
     if (head := w.rstrip("0123456789")).endswith("["):
-        return _word(head[:-1], rest)[0] + "%PID", True
+        return (yield head[:-1])[0] + "%PID", True
     if _ODD.search(w):
         return "%ODD", True
     cut = min((w.find(c) for c in "=:" if c in w), default=-1)
     if cut > 0 and (w[0] == "_" or w[0].isascii() and w[0].isalpha()):
         key, value = w[:cut], w[cut + 1 :]
-        said = _word(key, rest)[0]
+        said = (yield key)[0]
         if any(k in key.lower() for k in P.KEY_IDS):
             if not value:
                 next(rest, None)
             return said + "%EQ %VALUE_ID", True
-        more, added = _word(value, rest)
+        more, added = yield value
         return said + "%EQ " + more, added
     for sign in "/-|":
         if sign in w:
             left, right = w.split(sign, 1)
             if sign == "-" and _DASHES.match(right):
                 return "%DASH", True
-            one, glue = _word(left, rest)
-            two, added = _word(right, rest)
+            one, glue = yield left
+            two, added = yield right
             return one + (f"{sign} " if glue else "") + two, added
     if len(w.encode()) >= 32:
         return "%BIG", True
     if (at := min((w.find(c) for c in "[(\\@" if c in w), default=-1)) >= 0:
-        one, glue = _word(w[:at], rest)
-        two, added = _word(w[at + 1 :], rest)
+        one, glue = yield w[:at]
+        two, added = yield w[at + 1 :]
         return one + (" " if glue else "") + two, added
     plain = _NUMBER.sub("N", w)
     if _PASSWORD.search(plain):
@@ -99,6 +101,20 @@ def _word(raw: str, rest: Iterator[str]) -> tuple[str, bool]:
     return (plain, True) if len(plain.encode()) > 3 else ("", False)
 
 
+def _word(raw: str, rest: Iterator[str]) -> tuple[str, bool]:
+    """(text, whether a word was added): the tokens of one word."""
+    open_, said = [_parts(raw, rest)], None
+    while open_:
+        try:
+            part = open_[-1].send(said)
+            open_.append(_parts(part, rest))
+            said = None
+        except StopIteration as done:
+            open_.pop()
+            said = done.value
+    return said
+
+
 def tokenize(line: str) -> str:
     """Tokens of one line."""
     line = line.strip()
@@ -112,12 +128,18 @@ def tokenize(line: str) -> str:
     return "".join(out).rstrip()
 
 
-def with_tokens(lines: DataFrame, column: str = "line", name: str = "tokens") -> DataFrame:
-    """lines with their tokens; each distinct line is tokenised once and joined back."""
+#: Lines repeat: a worker remembers the tokens of so many.
+_known = lru_cache(1 << 14)(tokenize)
+
+
+def _tokens(lines: pa.Array) -> pa.Array:
+    return pa.array([None if x is None else _known(x) for x in lines.to_pylist()], pa.string())
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.record_batch([b.column(0), pa.array([tokenize(x) for x in b.column(0).to_pylist()], pa.string())], names=[column, name])
 
-    known = lines.select(column).where(f"`{column}` is not null").distinct().mapInArrow(run, f"`{column}` string, `{name}` string")
-    return lines.join(known, column, "left")
+def tokens_of(line: Column) -> Column:
+    """The tokens of a column of lines, in Arrow batches; null where the line is null."""
+    return F.arrow_udf(_tokens, "string")(line)
+
+
+def with_tokens(lines: DataFrame, column: str = "line", name: str = "tokens") -> DataFrame:
+    return lines.withColumn(name, tokens_of(F.col(column)))

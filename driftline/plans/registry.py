@@ -23,11 +23,17 @@ def query(sql: str | None = None):
     return add
 
 
+def _all() -> None:
+    from . import reporting, services  # noqa: F401  (they register themselves)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _all()
     return {name: f for name, (f, _) in _REGISTERED.items()}
 
 
 def oracle_sql() -> dict[str, str]:
+    _all()
     return {name: sql for name, (_, sql) in _REGISTERED.items() if sql}
 
 
@@ -39,26 +45,55 @@ def _lines(spark: SparkSession, sf: str) -> DataFrame:
     return scoring.split_lines(_table(spark, sf, "documents"))
 
 
+#: Words of every kind, made from an event's number e; the same text in both dialects.
+MADE = (
+    "'Monday'", "'weeks'", "concat('sha256:', e)", "concat(repeat('a1b2c3d4', 8), e)", "concat('fe80::', e)", "'bcdfg'", "'BCDFG'", "'rabbitmq-cluster-id-q9'",
+    "concat('req-', e)", "concat('gAAAAB', e)", "'1a2b3c4d-aaaa-bbbb-cccc-'", "concat('HTTPS://h.example/', e)", "concat('/tmp/x', e)", "concat('tmpdir', e)",
+    "concat('refs/changes/', e)", "'abcdefg..1234567'", "concat(e, 'YWJj==')", "concat('QUJDREVGR0hJSktMTU5PUFFS', e)", "concat('svc_unit[', e, ']:')", "'Traceback'",
+    "concat('a<b', e)", "concat('v1.', e, '.x')", "'latest'", "concat('0x', e)", "'months'", "'AUTH_token'", "'repos/x'", "concat('md5~', e)",
+)
+_MADE_SQL = "CASE event_id % " + str(len(MADE)) + " " + " ".join(f"WHEN {i} THEN {x}" for i, x in enumerate(MADE)) + " END"
+
+
 def _words(spark: SparkSession, sf: str) -> DataFrame:
-    """Distinct words of documents, URLs and event properties."""
+    """Distinct words of documents and URLs, and made ones of every kind."""
     docs = _table(spark, sf, "documents").select(F.explode(F.split("text", "[ \\n]", -1)).alias("w"))
     urls = _table(spark, sf, "pages").select(F.explode(F.split("url", "/", -1)).alias("w")).union(_table(spark, sf, "pages").select("url"))
-    return docs.union(urls).where("w <> ''").distinct()
+    made = _table(spark, sf, "events").withColumn("e", F.col("event_id").cast("string")).select(F.expr(_MADE_SQL).alias("w"))
+    return docs.union(urls).union(made).where("w <> ''").distinct()
+
+
+#: Tails of the lines of error events, by event number: every kind of error line, and some that are none.
+TAILS = (
+    " ERROR", " ERROR is no end", "|   \"msg\": \"x\"", " task: FAILED!", " | FAILED | rc=1", " | fatal: [h]", " The error appears to be in y", " failed: 3 ", " failed: 0 ", " stderr: 'error: x",
+    " |WARN|tcp", " [EC 4]", " [Error] x", " 0 ERROR x", "... FAILED", " %] FAILED x", " ] ERROR: x", " {\"level\":\"ERROR\"}", "   Failed   3", " Warning  Failed  x",
+    " E0814 x", " msg=\"error reading file\"", " msg=\"an error occurred\"", " \"level\":\"error\"", " level=error", " an error", " levels=errors",
+)
 
 
 def _event_lines(spark: SparkSession, sf: str) -> DataFrame:
-    level = F.when(F.col("event_type") == "error", "ERROR").otherwise("INFO")
-    line = F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss,SSS"), F.lit(" "), level, F.lit(" svc type="), "event_type", F.lit(" user="), F.col("user_id").cast("string"), F.lit(" props="), "props")
+    tails = F.array(*(F.lit(t) for t in TAILS))
+    tail = F.when(F.col("event_type") == "error", F.get(tails, (F.col("event_id") % len(TAILS)).cast("int"))).otherwise(F.lit(""))
+    line = F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss,SSS"), F.lit(" INFO svc type="), "event_type", F.lit(" user="), F.col("user_id").cast("string"), F.lit(" props="), "props", tail)
     return _table(spark, sf, "events").select("event_id", "user_id", "ts", line.alias("line"))
 
 
 LINES = f"""lines AS (SELECT lang AS index_name, source, doc_id, pos, line FROM (
   SELECT doc_id, lang, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents)
   WHERE line <> '' AND strlen(line) <= {P.MAX_LINE_BYTES})"""
-WORDS = """words AS (SELECT DISTINCT w FROM (SELECT unnest(string_split(replace(text, chr(10), ' '), ' ')) AS w FROM documents
-  UNION ALL SELECT unnest(string_split(url, '/')) FROM pages UNION ALL SELECT url FROM pages) WHERE w <> '')"""
-EVENTS = """event_lines AS (SELECT event_id, user_id, ts, strftime(ts, '%Y-%m-%d %H:%M:%S') || ',' || lpad((extract('milliseconds' FROM ts)::BIGINT % 1000)::VARCHAR, 3, '0') || ' ' ||
-  CASE WHEN event_type = 'error' THEN 'ERROR' ELSE 'INFO' END || ' svc type=' || event_type || ' user=' || user_id || ' props=' || props AS line FROM events)"""
+WORDS = f"""words AS (SELECT DISTINCT w FROM (SELECT unnest(string_split(replace(text, chr(10), ' '), ' ')) AS w FROM documents
+  UNION ALL SELECT unnest(string_split(url, '/')) FROM pages UNION ALL SELECT url FROM pages
+  UNION ALL SELECT {_MADE_SQL} FROM (SELECT event_id, event_id::VARCHAR AS e FROM events)) WHERE w <> '')"""
+_TAILS_SQL = "[" + ", ".join("'" + t.replace("'", "''") + "'" for t in TAILS) + "]"
+EVENTS = f"""event_lines AS (SELECT event_id, user_id, ts, strftime(ts, '%Y-%m-%d %H:%M:%S') || ',' || lpad((extract('milliseconds' FROM ts)::BIGINT % 1000)::VARCHAR, 3, '0') ||
+  ' INFO svc type=' || event_type || ' user=' || user_id || ' props=' || props || CASE WHEN event_type = 'error' THEN {_TAILS_SQL}[event_id % {len(TAILS)} + 1] ELSE '' END AS line FROM events)"""
+#: Written by hand, not from the constants under test.
+IS_ERROR = "regexp_matches(line, '" + "|".join((
+    "ERROR [0-9]{4}", "<title>503 Service Unavailable</title>", " ERROR$", "\\|   \"msg\": \"", ": FAILED!", "\\| FAILED \\|", "\\| (fatal|failed|error): ", " The error appears to be in ",
+    " failed: [1-9][0-9]*[ \\t]", "stderr: ''error:", "\\|WARN\\|", "\\[EC [0-9]+\\]", " \\[Error\\] ", "[0-9Z][ \\t]+ERROR[ \\t]+[a-zA-Z]", "^FAIL: ", "^(ERROR|FAILED): ", "\\.\\.\\. FAILED$",
+    "^<(failure|error) message=", "^E       ", "%\\] FAILED ", "\\] ERROR: ", "\"level\":\"ERROR\"", "[ \\t]{2,}(Failed|Error|CrashLoopBackOff)[ \\t]{2,}[0-9]", "Warning[ \\t]+Failed[ \\t]+",
+    "\\bE[0-9]{4}\\b", "msg=\"error", "msg=\"an error", "\"level\":\"error\"", "\\blevel=error\\b",
+)) + "')"
 _SETS = f"""{LINES}, sets AS (SELECT *, list_sort(list_distinct(list_filter(string_split(line, ' '), lambda w: w <> ''))) AS words FROM lines),
  b AS (SELECT row_number() OVER () AS b, * FROM (SELECT DISTINCT index_name, words FROM sets WHERE source IN {BASELINE} AND len(words) > 0)),
  t AS (SELECT row_number() OVER () AS t, * FROM (SELECT DISTINCT index_name, words FROM sets WHERE source NOT IN {BASELINE})),
@@ -118,23 +153,18 @@ def long_line_drop(spark: SparkSession, sf: str) -> DataFrame:
     return _table(spark, sf, "documents").select("doc_id", F.size(long).cast("long").alias("n_dropped"))
 
 
-def _rx(pattern: str) -> str:
-    return pattern.replace("\\z", "$").replace("'", "''")
-
-
-_UID_SQL = f"(regexp_matches(w, '{_rx(P.HEX_LIKE_LINEAR)}') OR (regexp_matches(w, '{P.CONSONANT}') AND NOT regexp_matches(w, '{P.VOWEL}')))"
-_B64_SQL = f"(w LIKE '%==' OR (strlen(w) > 24 AND (w LIKE '%=' OR regexp_matches(w, '{_rx(P.BASE64)}'))))"
+# Written by hand, not from the constants under test.
 _TESTS = {
-    "%DATE": f"regexp_matches(w, '{_rx(P.DATE)}')",
-    "%HASH": f"(w NOT LIKE '/%' AND regexp_matches(w, '(?i)^(hash|sha|md)[0-9]*[:~]|\\.?[a-zA-Z0-9_+/-]{{64}}'))",
-    "%ID": _UID_SQL,
-    "%COOKIE": f"regexp_matches(w, '{_rx(P.COOKIE)}')",
-    "%UID": f"regexp_matches(w, '{_rx(P.UUID_TAIL)}')",
-    "%URL": f"regexp_matches(w, '{_rx(P.URL)}')",
+    "%DATE": "regexp_matches(w, '(?i)^(sunday|monday|tuesday|wednesday|thursday|friday|saturday|january|february|march|april|may|june|july|august|september|october|november|december|months?|weeds?|days?|hours?|minutes?)$')",
+    "%HASH": "(w NOT LIKE '/%' AND regexp_matches(w, '(?i)^(hash|sha|md)[0-9]*[:~]|\\.?[a-zA-Z0-9_+/-]{64}'))",
+    "%ID": "(regexp_matches(w, '^(:*[\\[\\]0-9a-fA-FxZ,]+[:.\\-]*|(latest|none)|rabbitmq-cluster-id-.*)+$') OR (regexp_matches(lower(w), '[bcdfghjklmnpqrstvwxz]') AND NOT regexp_matches(w, '[aeiouyAEIOUY]')))",
+    "%COOKIE": "regexp_matches(w, '^(gAAAA|AAAA|tx[a-z]|tap|req-|AUTH_)')",
+    "%UID": "regexp_matches(w, '^[a-zA-Z0-9].*-[a-zA-Z0-9]{4}-[a-zA-Z0-9]{4}-[a-zA-Z0-9]{4}-$')",
+    "%URL": "regexp_matches(w, '(?i)^(https|http|ftp|ssh)://')",
     "%PATH": "(contains(w, 'tmp/') OR contains(w, '/tmp') OR starts_with(w, 'tmp'))",
-    "%REF": f"regexp_matches(w, '{_rx(P.REFS)}')",
-    "%BASE64": _B64_SQL,
-    "%UNIT": f"regexp_matches(w, '{_rx(P.UNIT)}')",
+    "%REF": "regexp_matches(w, '^(refs/|repos/)|^\\w{7}\\.\\.\\w{7}$')",
+    "%BASE64": "(w LIKE '%==' OR (strlen(w) > 24 AND (w LIKE '%=' OR regexp_matches(w, '^[A-Za-z0-9+/=]+$'))))",
+    "%UNIT": "regexp_matches(w, '^[a-z]+_[a-z]+\\[[0-9]+\\]:$')",
 }
 
 
@@ -161,7 +191,7 @@ def remove_numbers(spark: SparkSession, sf: str) -> DataFrame:
     return _words(spark, sf).select(F.col("w").alias("word"), words.remove_numbers(F.col("w")).alias("plain"))
 
 
-@query(f"WITH {WORDS} SELECT w AS word FROM words WHERE regexp_matches(w, '{_rx(P.ERROR_WORD)}') OR regexp_matches(w, '{_rx(P.ODD)}')")
+@query(f"WITH {WORDS} SELECT w AS word FROM words WHERE regexp_matches(w, '(?i)^(error|fatal|failure|failed|warning|err|fail|warn|denied|assert|assertion|non-zero|exception|traceback)$') OR regexp_matches(w, '[<>{{}}%$,*]')")
 def word_is_error_or_odd(spark: SparkSession, sf: str) -> DataFrame:
     return _words(spark, sf).where(F.col("w").rlike(P.ERROR_WORD) | F.col("w").rlike(P.ODD)).select(F.col("w").alias("word"))
 
@@ -178,45 +208,25 @@ def unordered_key_dedupe(spark: SparkSession, sf: str) -> DataFrame:
     return scoring.first_of_key(_lines(spark, sf)).select("doc_id", F.col("pos").cast("long").alias("pos"), "first")
 
 
-@query(f"""WITH {LINES}, n AS (SELECT doc_id, pos, line, contains(line, 'ion') AND pos % 5 = 0 AS anomaly, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS seq FROM lines),
- m AS (SELECT *, min(CASE WHEN anomaly THEN seq END) OVER (PARTITION BY doc_id ORDER BY seq ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next,
-   max(CASE WHEN anomaly THEN seq END) OVER (PARTITION BY doc_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM n),
- g AS (SELECT *, seq - 1 - CASE WHEN prev IS NULL THEN 0 ELSE least(prev + 3, seq - 1) END AS gap FROM m WHERE anomaly)
- SELECT g.doc_id, g.pos,
-   coalesce((SELECT string_agg(md5(n.line), ',' ORDER BY n.seq) FROM n WHERE n.doc_id = g.doc_id AND n.seq < g.seq AND n.seq >= g.seq - CASE WHEN gap < 12 THEN gap ELSE 3 END), '') AS before,
-   coalesce((SELECT string_agg(md5(n.line), ',' ORDER BY n.seq) FROM n WHERE n.doc_id = g.doc_id AND n.seq > g.seq AND n.seq <= g.seq + 3 AND (g.next IS NULL OR n.seq < g.next)), '') AS after FROM g""")
-def context_windows(spark: SparkSession, sf: str) -> DataFrame:
-    """Before and after lines; here every fifth line with "ion" stands in for the scored anomalies."""
-    lines = _lines(spark, sf).withColumn("anomaly", F.contains("line", F.lit("ion")) & (F.col("pos") % 5 == 0))
-    said = lambda c: F.array_join(F.transform(c, lambda x: F.md5(x.cast("binary"))), ",")
-    return scoring.contexts(lines).select("doc_id", F.col("pos").cast("long").alias("pos"), said("before").alias("before"), said("after").alias("after"))
-
-
 def _said(c: str) -> Column:
     return F.array_join(F.transform(c, lambda x: F.md5(x.cast("binary"))), ",")
 
 
-@query(None)
-def scored_context_windows(spark: SparkSession, sf: str) -> DataFrame:
+@query(f"""WITH {_SETS}, n AS (SELECT doc_id, pos, line, distance > 0.3 AS anomaly, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS seq FROM sets JOIN scored USING (index_name, words) WHERE source NOT IN {BASELINE}),
+ m AS (SELECT *, min(CASE WHEN anomaly THEN seq END) OVER (PARTITION BY doc_id ORDER BY seq ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next,
+   max(CASE WHEN anomaly THEN seq END) OVER (PARTITION BY doc_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev,
+   list(md5(line)) OVER (PARTITION BY doc_id ORDER BY seq ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING) AS back, list(md5(line)) OVER (PARTITION BY doc_id ORDER BY seq ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING) AS ahead FROM n),
+ g AS (SELECT *, seq - 1 - CASE WHEN prev IS NULL THEN 0 ELSE least(prev + 3, seq - 1) END AS gap FROM m WHERE anomaly),
+ h AS (SELECT *, CASE WHEN gap < 12 THEN gap ELSE 3 END AS take, coalesce(len(back), 0) AS nb, least(3, coalesce(next - seq - 1, 3)) AS go FROM g)
+ SELECT doc_id, pos, CASE WHEN take > 0 THEN coalesce(array_to_string(back[nb - take + 1:nb], ','), '') ELSE '' END AS before, CASE WHEN go > 0 THEN coalesce(array_to_string(ahead[1:go], ','), '') ELSE '' END AS after FROM h""")
+def context_windows(spark: SparkSession, sf: str) -> DataFrame:
     """Contexts of the target lines farther than the threshold from every baseline line."""
     target, scored = _scored(spark, sf)
     marked = target.join(scored, ["index_name", "words"]).withColumn("anomaly", F.col("distance") > P.THRESHOLD)
     return scoring.contexts(marked).select("doc_id", F.col("pos").cast("long").alias("pos"), _said("before").alias("before"), _said("after").alias("after"))
 
 
-def _token_scored(spark: SparkSession, sf: str) -> DataFrame:
-    known = F.col("source").isin(*BASELINE)
-    return scoring.token_scored(_lines(spark, sf).where(~known), _lines(spark, sf).where(known))
-
-
-@query(None)
-def token_report(spark: SparkSession, sf: str) -> DataFrame:
-    """Anomalies with contexts of all target lines: tokenise, first per key, score, threshold, report-wide dedupe."""
-    found = scoring.contexts(_token_scored(spark, sf), "index_name", "source", "distance", "in_report").where("in_report")
-    return found.select("index_name", "source", "doc_id", F.col("pos").cast("long").alias("pos"), F.round("distance", 6).alias("distance"), _said("before").alias("before"), _said("after").alias("after"))
-
-
-@query(f"WITH {EVENTS} SELECT event_id, regexp_matches(line, '{_rx('|'.join(P.ERROR_LINE))}') AS is_error FROM event_lines")
+@query(f"WITH {EVENTS} SELECT event_id, {IS_ERROR} AS is_error FROM event_lines")
 def error_line_filter(spark: SparkSession, sf: str) -> DataFrame:
     return _event_lines(spark, sf).select("event_id", words.is_error_line(F.col("line")).alias("is_error"))
 
@@ -250,9 +260,20 @@ def path_dir(spark: SparkSession, sf: str) -> DataFrame:
     return _table(spark, sf, "pages").select("page_id", F.when(url.endswith("/index.html"), F.substring(url, F.lit(1), F.length(url) - 10)).when(url.endswith("/"), url).alias("dir"))
 
 
-@query(f"SELECT page_id, NOT regexp_matches(regexp_replace(url, '\\.gz$', ''), '{_rx('|'.join(P.EXCLUDED_PATHS))}') AS included FROM pages")
+#: Endings for page addresses; the same text in both dialects.
+_SUFFIX = "CASE page_id % 8 WHEN 0 THEN '.log' WHEN 1 THEN '/a.png.gz' WHEN 2 THEN '/happy' WHEN 3 THEN '/etc/x' WHEN 4 THEN '/.git/x' WHEN 5 THEN '/sos_commands/p/ps_x' WHEN 6 THEN '/job-output.json' ELSE '' END"
+#: Written by hand, not from the constants under test.
+_EXCLUDED = (
+    ".ico$|.png$|.clf$|.tar.bzip2$|.subunit$|.sqlite$|.db$|.bin$|.rpm$|.pcap.log.txt$|.pkl$|.jar$|.pyc$|.py$|.sh$|.eot$|.otf$|.woff$|.woff2$|.ttf$|.yaml$|.ini$|.conf$|job-output.json$|zuul-manifest.json$|.html$"
+    "|sos_commands/.*/(lsof|ps|journalctl|ls)_|sos_commands/scsi|cacerts$|local/creds$|/authkey$|mysql/tc.log.txt$|log/.tmp$|/etc/|/proc/|/sys/|/usr/lib/|/var/lib/selinux/|/venv/|/\\.[a-zA-Z0-9]"
+)
+
+
+@query(f"SELECT page_id, NOT regexp_matches(regexp_replace(url, '(\\.gz)+$', ''), '{_EXCLUDED}') AS included FROM (SELECT page_id, url || {_SUFFIX} AS url FROM pages)")
 def path_exclude_filter(spark: SparkSession, sf: str) -> DataFrame:
-    return _table(spark, sf, "pages").select("page_id", paths.included(F.col("url")).alias("included"))
+    """Page addresses with endings of all sorts."""
+    url = F.concat("url", F.expr(_SUFFIX))
+    return _table(spark, sf, "pages").select("page_id", paths.included(url).alias("included"))
 
 
 @query(None)
@@ -260,19 +281,13 @@ def index_name_clean(spark: SparkSession, sf: str) -> DataFrame:
     return _table(spark, sf, "pages").select("page_id", paths.index_name(F.regexp_replace("url", "^https?:/", "")).alias("index_name"))
 
 
-@query(f"WITH {LINES} SELECT DISTINCT index_name, source FROM lines t WHERE NOT EXISTS (SELECT 1 FROM lines b WHERE b.source IN ('src1') AND b.index_name = t.index_name AND b.doc_id % 3 = 0)")
+@query(f"""WITH {LINES}, named AS (SELECT index_name || '/' || CAST(doc_id % 97 AS VARCHAR) AS index_name, source, doc_id, line FROM lines)
+ SELECT index_name, source, count(*) AS n_lines FROM named t WHERE source NOT IN {BASELINE} AND NOT EXISTS (SELECT 1 FROM named b WHERE b.source IN {BASELINE} AND b.index_name = t.index_name) GROUP BY ALL""")
 def unknown_index_anti(spark: SparkSession, sf: str) -> DataFrame:
-    lines = _lines(spark, sf).select("index_name", "source", "doc_id")
-    known = lines.where("source = 'src1' and doc_id % 3 = 0").select("index_name").distinct()
-    return lines.join(known, "index_name", "left_anti").select("index_name", "source").distinct()
-
-
-@query(None)
-def unknown_index_all(spark: SparkSession, sf: str) -> DataFrame:
-    """Indexes, by source, that no line of any baseline document has."""
-    lines = _lines(spark, sf).select("index_name", "source")
+    """Indexes of all target lines, 97 a language, that no line of any baseline document has."""
+    lines = _lines(spark, sf).withColumn("index_name", F.concat("index_name", F.lit("/"), (F.col("doc_id") % 97).cast("string")))
     known = lines.where(F.col("source").isin(*BASELINE)).select("index_name").distinct()
-    return lines.join(known, "index_name", "left_anti").distinct()
+    return lines.where(~F.col("source").isin(*BASELINE)).join(known, "index_name", "left_anti").groupBy("index_name", "source").agg(F.count("*").alias("n_lines"))
 
 
 @query(f"WITH {LINES}, s AS (SELECT md5(line) AS line, index_name, source FROM lines WHERE source IN {BASELINE}) SELECT index_name, line, count(DISTINCT source) AS n_models FROM s GROUP BY ALL")
@@ -359,7 +374,7 @@ def error_contexts(spark: SparkSession, sf: str) -> DataFrame:
     return errors.error_contexts(lines)
 
 
-@query(f"WITH {EVENTS} SELECT user_id::VARCHAR AS source, event_id AS pos, md5(line) AS line FROM event_lines WHERE regexp_matches(line, '{_rx('|'.join(P.ERROR_LINE))}')")
+@query(f"WITH {EVENTS} SELECT user_id::VARCHAR AS source, event_id AS pos, md5(line) AS line FROM event_lines WHERE {IS_ERROR}")
 def error_lines_by_source(spark: SparkSession, sf: str) -> DataFrame:
     """What error_contexts finds, without the contexts: events hold no traces."""
     return error_contexts(spark, sf).select("source", "pos", F.md5(F.col("line").cast("binary")).alias("line"))

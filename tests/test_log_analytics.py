@@ -41,6 +41,8 @@ def test_query_equals_its_sql(spark, duck, name):
         ("word", "%GL_FILTER"),
         ("iptables -N RULES42 -L", "%GL_FILTER"),
         ("the password: secret value", "password%EQ %VALUE_ID value"),
+        ("seen on week Monday", "seen week %DATE"),
+        ("call NTN:N:NZ now please", "call %ID please"),
     ],
 )
 def test_tokenizer(line, tokens):
@@ -52,6 +54,17 @@ def test_tokenizer_equal(a, b):
     assert tokenizer.tokenize(a) == tokenizer.tokenize(b)
 
 
+def test_tokenizer_deep_word():
+    assert tokenizer.tokenize("see " + "aaaa|" * 2000).startswith("%ID| ")
+
+
+def test_error_lines(spark):
+    yes = ["x The error appears to be in y", "x failed: 3 ", 'msg="error reading file"', 'msg="an error occurred"', "a | FAILED | b", "E0814 x", "... FAILED", "a ERROR"]
+    no = ["x failed: 0 ", "a ERROR\r", "an error", "levels=errors"]
+    rows = spark.createDataFrame([(x,) for x in yes + no], "l string").select("l", words.is_error_line(F.col("l")).alias("e")).collect()
+    assert {r.l: r.e for r in rows} == {x: x in yes for x in yes + no}
+
+
 def test_hex_pattern_is_linear(spark):
     row = spark.range(1).select(words.is_uid(F.lit("a" * 40 + "g")).alias("no"), words.is_uid(F.lit("::1")).alias("yes")).first()
     assert (row.no, row.yes) == (False, True)
@@ -105,11 +118,11 @@ def _tables(spark, folder, rows):
     return str(folder)
 
 
-def test_scored_context_windows(spark, tmp_path):
+def test_context_windows(spark, tmp_path):
     known = [f"step {k} of the work is done" for k in range(40)]
     text = [*known[:13], "the disk burns badly", *known[13:15], "a fan stopped spinning", *known[15:30], "last words unheard"]
     rows = [("en", "src1", 1, "\n".join(known)), ("en", "src9", 2, "\n".join(text))]
-    got = {r.pos: (r.before, r.after) for r in registry.queries()["scored_context_windows"](spark, _tables(spark, tmp_path, rows)).collect()}
+    got = {r.pos: (r.before, r.after) for r in registry.queries()["context_windows"](spark, _tables(spark, tmp_path, rows)).collect()}
 
     def said(lines):
         return ",".join(hashlib.md5(x.encode()).hexdigest() for x in lines)
@@ -120,13 +133,7 @@ def test_scored_context_windows(spark, tmp_path):
     assert got == {14: (said(text[10:13]), said(text[14:16])), 17: ("", said(text[17:20])), 33: (said(text[29:32]), "")}
 
 
-def test_unknown_index_all(spark, tmp_path):
-    rows = [("en", "src1", 1, "a"), ("de", "src5", 4, "b"), ("en", "src9", 5, "c"), ("de", "src9", 7, "d"), ("fr", "src9", 8, "e"), ("fr", "src8", 9, "f\ng")]
-    got = sorted(map(tuple, registry.queries()["unknown_index_all"](spark, _tables(spark, tmp_path, rows)).collect()))
-    assert got == [("fr", "src8"), ("fr", "src9")]
-
-
-def test_token_report(spark, tmp_path):
+def test_report_on_tokens(spark, tmp_path):
     known = [f"connect from client number {k} with session closed" for k in range(5)] + ["service started normally without warnings", "noise"]
     text = ["connect from client number 77 with session closed", "service started normally without warnings", "kernel panic happened suddenly at 12", "noise", "kernel panic happened suddenly at 99", "single"]
     rows = [("en", "src1", 1, "\n".join(known)), ("en", "src7", 2, "\n".join(text)), ("en", "src8", 3, "\n".join(text)), ("fr", "src8", 4, text[2])]
@@ -149,11 +156,11 @@ def test_token_report(spark, tmp_path):
                     continue
                 seen.add(key(x))
                 words = sets([x])[key(x)]
-                near = max((len(words & b) / math.sqrt(len(words) * len(b)) for b in base.values() if words and b), default=0) if index == "en" else 0
+                near = max((len(words & b) / math.sqrt(len(words) * len(b)) for b in base.values() if words and b), default=0)
                 if 1 - near > 0.3 and key(x) not in reported:
                     reported.add(key(x))
-                    want.append((index, source, doc, pos, round(1 - near, 6)))
-    got = registry.queries()["token_report"](spark, _tables(spark, tmp_path, rows)).collect()
-    assert sorted((r.index_name, r.source, r.doc_id, r.pos, r.distance) for r in got) == sorted(want)
-    assert [r[1:4] for r in want] == [("src7", 2, 3)]
+                    want.append((index, f"{source}/doc-{doc}.log", pos, round(1 - near, 6)))
+    got = registry.queries()["report_lines_tokens"](spark, _tables(spark, tmp_path, rows)).collect()
+    assert sorted((r.index_name, r.source, r.pos, r.distance) for r in got) == sorted(want)
+    assert [r[1:3] for r in want] == [("src7/doc-2.log", 3)]
     assert (got[0].before.count(",") + 1, got[0].after.count(",") + 1) == (2, 3)
