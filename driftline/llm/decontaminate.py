@@ -155,8 +155,9 @@ def contaminated(
     """One row for each contaminated pair: (doc_id, item_id, n_tokens, n_covered, coverage, tiles).
 
     benchmark has item_id and text.  Null or token-less texts, of documents or items, match nothing;
-    an item shorter than a seed matches as a whole.  Repeated rows each give their own rows; further
-    columns are ignored; an empty table on either side gives no rows.
+    an item shorter than a seed matches as a whole.  Repeated rows each give their own rows (a joined
+    benchmark: count once); a null id stays null; further columns are ignored; an empty table on either side
+    gives no rows.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     benchmark = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null")
@@ -182,24 +183,37 @@ def contaminated(
 
 
 def _joined(docs: DataFrame, benchmark: DataFrame, seed: int, least: float) -> DataFrame:
-    """The same where the benchmark is too large to send: documents and items meet on seed hashes."""
+    """The same where the benchmark is too large to send: documents and items meet on seed hashes.
+
+    A row without an id cannot be joined and gives no pair here; rows of one id and text count once.
+    """
     scratch = Scratch(docs.sparkSession, "decontaminate")
-    lengths = scratch.put(benchmark.select("item_id", F.col("text")), "items")
+    docs = docs.where("doc_id is not null").distinct()
+    items = scratch.put(benchmark.where("item_id is not null").distinct(), "items")
+
+    def seeds_of(df: DataFrame, key: str, widths: list[int] | None) -> DataFrame:
+        """(key, seed, width, n): the distinct seeds; of an item the longest that it has, of a document those of all widths."""
 
-    def seeds_of(df: DataFrame, key: str, widths: list[int]) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 ids = batch.column(0).to_numpy()
                 for row, tokens in token_lists(batch.column(1)):
-                    sizes = [min(seed, len(tokens))] if key == "item_id" else widths
-                    h = np.unique(np.concatenate([np.zeros(0, np.uint64), *(window_hashes(tokens, w) for w in sizes if w)]))
-                    yield pa.record_batch([pa.array(np.full(len(h), ids[row])), pa.array(h.view(np.int64))], names=[key, "seed"])
-
-        return df.select(key, "text").mapInArrow(run, f"{key} long, seed long")
-
-    mine = scratch.put(seeds_of(lengths, "item_id", []), "item-seeds")
-    theirs = scratch.put(seeds_of(docs, "doc_id", list(range(1, seed + 1))).join(mine.select("seed").distinct(), "seed", "left_semi"), "doc-seeds")
-    pairs = scratch.put(theirs.join(mine, "seed").select("doc_id", "item_id").distinct(), "pairs")
+                    for width in [min(seed, len(tokens))] if widths is None else widths:
+                        if 0 < width <= len(tokens):
+                            h = np.unique(window_hashes(tokens, width))
+                            yield pa.record_batch([pa.array(np.full(len(h), ids[row])), pa.array(h.view(np.int64)), pa.array(np.full(len(h), width, np.int32)), pa.array(np.full(len(h), len(tokens), np.int32))], names=[key, "seed", "width", "n"])
+
+        return df.select(key, "text").mapInArrow(run, f"{key} long, seed long, width int, n int")
+
+    mine = scratch.put(seeds_of(items, "item_id", None), "item-seeds")
+    widths = [r.width for r in mine.select("width").distinct().collect()]  # at most ``seed`` of them
+    theirs = scratch.put(seeds_of(docs, "doc_id", widths).select("doc_id", "seed", "width").join(mine.select("seed", "width").distinct(), ["seed", "width"], "left_semi"), "doc-seeds")
+    # a seed covers ``width`` tokens wherever the item has it; so many different ones must be shared at least
+    repeats = mine.groupBy("item_id").agg(F.count("*").alias("distinct"), F.first("n").alias("n"), F.first("width").alias("width"))
+    shared = theirs.join(mine.select("item_id", "seed", "width"), ["seed", "width"]).groupBy("doc_id", "item_id").agg(F.count("*").alias("c"))
+    windows = F.col("n") - F.col("width") + 1
+    needed = (F.col("c") + windows - F.col("distinct")) * F.col("width") >= F.lit(least) * F.col("n")
+    pairs = scratch.put(shared.join(repeats, "item_id").where(needed).select("doc_id", "item_id"), "pairs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -211,5 +225,5 @@ def _joined(docs: DataFrame, benchmark: DataFrame, seed: int, least: float) -> D
             if found:
                 yield _rows(found)
 
-    both = pairs.join(lengths.withColumnRenamed("text", "item"), "item_id").join(docs, "doc_id")
+    both = pairs.join(items.withColumnRenamed("text", "item"), "item_id").join(docs, "doc_id")
     return both.select("doc_id", "item_id", "item", "text").mapInArrow(run, f"doc_id long, item_id long, {_RESULT}")

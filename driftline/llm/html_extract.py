@@ -1,6 +1,7 @@
 """Main text of web pages by wrapper induction.
 
-A block is the text of one block element; its key is the text with the tags on the path to it.  All
+Pages of a host are aligned by the paths of their nodes, not pair by pair by simple tree matching: that needs
+reference pages, and what these lack is no template then, however many other pages carry it.  A block is the text of one block element; its key is the text with the tags on the path to it.  All
 pages of a host vote, with no reference page: a key is template
 
 * if it stands on most of the host's pages, or
@@ -22,6 +23,7 @@ from __future__ import annotations
 import hashlib
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -40,22 +42,26 @@ RAW = frozenset("script style textarea title noscript template iframe".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 DROPPED = frozenset("head script style noscript template iframe svg canvas object nav footer aside form button select textarea dialog menu".split())
+LIST, BOX = frozenset(("ul", "ol", "menu")), frozenset("article section div td th li main body".split())
 #: Words of a class, an id or a role that mark something else than the article.
 OTHER = frozenset(
     "ad ads adv advert advertisement adbox banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer"
     " masthead topbar cookie cookies consent notice notices alert popup modal overlay newsletter subscribe signup login search share sharing social"
     " related recommended comment comments disqus reply replies respond widget pagination pager contentinfo complementary".split()
 )
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: What may start a tag, and the tag itself; quotes count behind an equals sign only.
+_OPEN = re.compile(r"<(?=[a-zA-Z/!?])")
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|=)*+)>|</[^>]*>", re.S)
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("article", "dropped", "parent", "path", "tag")
+    __slots__ = ("article", "block", "dropped", "parent", "path", "tag")
 
     def __init__(self, tag: str, parent: Node | None, dropped: bool, article: bool):
         self.tag, self.parent, self.dropped, self.article = tag, parent, dropped, article
+        self.block = parent.block if parent and tag in INLINE else self  # the nearest block element
         # a hash of the path, so that deep trees cost no more than flat ones; up to SHAPE also that of the cut path
         above = parent.path if parent else (0, b"", b"")
         name = hashlib.blake2b(above[1] + tag.encode(errors="replace"), digest_size=8).digest()
@@ -71,9 +77,13 @@ def _other(tag: str, attributes: str, in_article: bool) -> bool:
 
 
 def parse(page: str) -> list[tuple[Node, str]]:
-    """The blocks (nearest block element, text) in page order."""
+    """The blocks (nearest block element, text) in page order, in time linear in the page.
+
+    A tag that the page does not end is text, and so is all behind it.
+    """
     root = Node("#root", None, False, False)
     at, blocks, run, held = root, [], [], root
+    open_: Counter[str] = Counter()  # elements on the path to ``at``, by tag
 
     def flush() -> None:
         nonlocal run
@@ -83,15 +93,23 @@ def parse(page: str) -> list[tuple[Node, str]]:
                 blocks.append((held, text))
             run = []
 
+    def close(x: Node) -> None:
+        """Leave x and all elements inside it."""
+        nonlocal at
+        while at is not x:
+            open_[at.tag] -= 1
+            at = at.parent
+        open_[x.tag] -= 1
+        at = x.parent
+
     pos, n = 0, len(page)
     while pos < n:
-        m = _TOKEN.search(page, pos)
-        end = m.start() if m else n
+        start = _OPEN.search(page, pos)
+        m = _TOKEN.match(page, start.start()) if start else None
+        end = start.start() if start and m else n
         if end > pos and not at.dropped:
             if not run:
-                held = at
-                while held.tag in INLINE and held.parent:
-                    held = held.parent
+                held = at.block
             run.append(page[pos:end])
         if not m:
             break
@@ -102,31 +120,30 @@ def parse(page: str) -> list[tuple[Node, str]]:
         if tag not in INLINE:
             flush()
         if m[1]:
-            x = at
-            while x.parent and x.tag != tag:
-                x = x.parent
-            if x.parent:
-                at = x.parent
+            if open_[tag]:
+                x = at
+                while x.tag != tag:
+                    x = x.parent
+                close(x)
             continue
-        if tag in ENDS_P or tag == "li":
+        goal = "li" if tag == "li" else "p" if tag in ENDS_P else ""
+        if goal and open_[goal]:
+            stop = LIST if goal == "li" else BOX
             x = at
-            stop = ("ul", "ol", "menu") if tag == "li" else ("article", "section", "div", "td", "th", "li", "main", "body")
-            goal = "li" if tag == "li" else "p"
             while x.parent and x.tag != goal and x.tag not in stop:
                 x = x.parent
             if x.parent and x.tag == goal:
-                at = x.parent
+                close(x)
         if tag == "br":
             continue
-        article = at.article or tag in ("article", "main")
-        node = Node(tag, at, at.dropped or _other(tag, m[3], at.article), article)
         if tag in VOID or m[3].endswith("/"):
             continue
         if tag in RAW:  # no markup inside
-            close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, pos)
-            pos = close.end() if close else n
+            end_tag = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, pos)
+            pos = end_tag.end() if end_tag else n
             continue
-        at = node
+        at = Node(tag, at, at.dropped or _other(tag, m[3], at.article), at.article or tag in ("article", "main"))
+        open_[tag] += 1
     flush()
     return blocks
 

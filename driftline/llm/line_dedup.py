@@ -81,11 +81,13 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     n_lines = F.size(F.filter(lines, _full)).cast("long")
     # most texts have no mark, and a text that is covered from end to end keeps its blank lines only
-    return joined.select(
+    kept = F.when(F.col("at").isNull(), own[text_col]).otherwise(bound(lines, keep))
+    made = joined.select("own", F.struct(n_lines.alias("n_lines"), F.coalesce(F.size(gone), F.lit(0)).cast("long").alias("n_removed"), kept.alias("text")).alias("made"))
+    return made.select(
         *[own[c].alias(c) for c in docs.columns if c not in (text_col, "n_lines", "n_removed")],
-        n_lines.alias("n_lines"),
-        F.coalesce(F.size(gone), F.lit(0)).cast("long").alias("n_removed"),
-        F.when(F.col("at").isNull(), own[text_col]).otherwise(bound(lines, keep)).alias(text_col),
+        F.col("made.n_lines").alias("n_lines"),
+        F.col("made.n_removed").alias("n_removed"),
+        F.col("made.text").alias(text_col),
     )
 
 

@@ -1,18 +1,25 @@
 """WARC revisits: not-modified captures resolved to the response they refer to; DataFrame operations only.
 
-A revisit is joined, as of its time, to the latest earlier full response of the same canonical URL.  The
-join is a union of both kinds with a running last value inside (URL, time block), and a carry of the last
-response from block to block, which has one row for each block: a URL with most of the captures is
-spread over its blocks, and the window that must see a whole URL sees blocks, not captures.
-Bodies do not take part; the resolved row names the response and its digest.
+A revisit is joined, as of its time, to the latest earlier full response of the same canonical URL.  All
+records are dealt by ranges of (URL, time), so that a URL with most of the captures, even of one second, is
+spread over many ranges; the join is a running last value inside (URL, range), and a carry of the last
+response from range to range, which has one row for each: the window that must see a whole URL sees
+ranges, not captures.  Bodies do not take part; the resolved row names the response and its digest.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import gzip
+import io
+from collections.abc import Iterator
+from datetime import datetime
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-BLOCK_SECONDS = 3600
+from .common import Scratch
+
 #: Header fields that a 304 answer may update; all others stay as first stored.
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary")
 
@@ -28,7 +35,7 @@ def canonical(url: Column) -> Column:
     return F.concat(host, path, F.when(F.size(query) > 0, F.concat(F.lit("?"), F.array_join(query, "&"))).otherwise(F.lit("")))
 
 
-def resolve_revisits(records: DataFrame, block_seconds: int = BLOCK_SECONDS) -> DataFrame:
+def resolve_revisits(records: DataFrame) -> DataFrame:
     """One row for each revisit: (record_id, key, ts, state, response_id, digest, headers).
 
     records: record_id long, url string, ts long (seconds), kind 'response' or 'revisit', digest string,
@@ -37,12 +44,14 @@ def resolve_revisits(records: DataFrame, block_seconds: int = BLOCK_SECONDS) ->
     'orphan' without an earlier response.  headers are the response's, with the permitted ones of
     the revisit merged in where it is resolved or unchecked, else null.  Of responses at one time the
     largest record_id is the latest; only strictly earlier times count.  Records without a time or
-    with another kind are ignored, a null url is the key ''.  Repeated revisits each give a row.
+    with another kind are ignored, a null url is the key ''.  Repeated revisits each give a row; a null
+    record_id counts as the smallest; further columns are ignored; an empty table gives an empty one.
     """
     rows = records.where("ts is not null and kind in ('response', 'revisit')").select(
         "record_id", canonical(F.col("url")).alias("key"), F.col("ts").cast("long").alias("ts"), "kind", "digest", F.coalesce("headers", F.create_map().cast("map<string,string>")).alias("headers")
     )
-    rows = rows.withColumn("block", F.floor(F.col("ts") / block_seconds))
+    dealt = rows.repartitionByRange("key", "ts", "kind", "record_id").withColumn("block", F.spark_partition_id())
+    rows = Scratch(records.sparkSession, "warc").put(dealt, "dealt")  # written, so that a repeated task finds the same ranges
     response = F.when(F.col("kind") == "response", F.struct("ts", "record_id", "digest", "headers"))
     inside = Window.partitionBy("key", "block").orderBy("ts", F.struct(F.col("kind") == "response"), "record_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     near = rows.withColumn("near", F.last(response, ignorenulls=True).over(inside)).where("kind = 'revisit'")
@@ -65,6 +74,57 @@ def resolve_revisits(records: DataFrame, block_seconds: int = BLOCK_SECONDS) ->
     return out.select("record_id", "key", "ts", "state", F.when(good, F.col("r.record_id")).alias("response_id"), F.when(good, F.col("r.digest")).alias("digest"), F.when(good, merged).alias("headers"))
 
 
+def records_of(data: bytes) -> Iterator[tuple[str, str, dict[str, str], dict[str, str]]]:
+    """(record id, type, WARC headers, HTTP headers) of the records of a WARC file, plain or gzip by record; names in lower case."""
+    file = io.BytesIO(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data)
+
+    def fields(block: bytes) -> dict[str, str]:
+        out = {}
+        for line in block.decode(errors="replace").split("\r\n")[1:]:
+            name, sign, value = line.partition(":")
+            if sign:
+                out[name.strip().lower()] = value.strip()
+        return out
+
+    while line := file.readline():
+        if not line.startswith(b"WARC/"):
+            continue
+        head = line
+        while (line := file.readline()).strip():
+            head += line
+        own = fields(head)
+        body = file.read(int(own.get("content-length", 0)))
+        http = body.split(b"\r\n\r\n", 1)[0] if own.get("content-type", "").startswith("application/http") else b""
+        yield own.get("warc-record-id", ""), own.get("warc-type", ""), own, fields(http)
+
+
+def read_warc(spark: SparkSession, path: str) -> DataFrame:
+    """The responses and revisits of WARC files as records for ``resolve_revisits``; one file is one row of a task.
+
+    record_id is a hash of the record's own id.  A file or record that cannot be read ends that file; what came before counts.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        headers = pa.map_(pa.string(), pa.string())
+        for batch in batches:
+            for data in batch.column(0):
+                out: list[tuple] = []
+                try:
+                    for name, kind, own, http in records_of(data.as_py()):
+                        if kind in ("response", "revisit") and "warc-date" in own:
+                            ts = int(datetime.fromisoformat(own["warc-date"]).timestamp())
+                            out.append((name, own.get("warc-target-uri"), ts, kind, own.get("warc-payload-digest"), list(http.items())))
+                except (OSError, EOFError, ValueError):
+                    pass
+                if out:
+                    kinds = (pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), headers)
+                    yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["name", "url", "ts", "kind", "digest", "headers"])
+
+    files = spark.read.format("binaryFile").load(path).select("content")
+    rows = files.mapInArrow(run, "name string, url string, ts long, kind string, digest string, headers map<string,string>")
+    return rows.select(F.xxhash64("name").alias("record_id"), "url", "ts", "kind", "digest", "headers")
+
+
 def captures(pages: DataFrame) -> DataFrame:
     """Capture records of the pages table, as a crawler would have left them.
 
