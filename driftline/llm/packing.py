@@ -33,7 +33,7 @@ BLOCK, BLOCK_TOKENS = 8192, 4_000_000
 END = 2
 #: A gap or an overrun of fewer tokens is not worth a cut.
 SMALL = 16
-CACHED_WORDS, CACHED_STEMS = 100_000, 300_000
+CACHED_WORDS, CACHED_STEMS = 100_000, 200_000
 
 
 def _symbols() -> dict[int, str]:
@@ -82,7 +82,7 @@ class Encoder:
 
     Only for tokenizers that lower-case, drop white space and never join across it or between a letter
     and following punctuation; an encoding is then the concatenation of its words' encodings, and
-    most words have been seen before.  Bounded memory: about 120 MB at the most.
+    most words have been seen before.  Bounded memory: about 100 MB at the most.
     """
 
     def __init__(self, path: str):
