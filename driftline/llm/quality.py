@@ -52,13 +52,17 @@ def _bucket(buckets: int, *words: Column) -> Column:
     return F.pmod(F.xxhash64(*words), F.lit(buckets)).cast("int")
 
 
-def grams_of(words: Column, n: int, buckets: int) -> Column:
-    """array<int> of the buckets of all n-grams, 1 to n words long, of an array of lower-case words."""
+def grams(texts: DataFrame, n: int, buckets: int) -> DataFrame:
+    """(t, bucket) of each n-gram, 1 to n words long, of the arrays h of lower-case words.
 
-    def long(h: Column, k: int) -> Column:
-        return F.transform(F.slice(h, 1, F.greatest(F.size(h) - k + 1, F.lit(0))), lambda x, i: _bucket(buckets, x, *(F.get(h, i + j) for j in range(1, k))))
-
-    return bound(words, lambda h: F.concat(*(long(h, k) for k in range(1, n + 1))))
+    A row for each word with the words behind it, then one for each n-gram: both are generated code,
+    where a lambda over the array would be interpreted.
+    """
+    names = [f"w{k}" for k in range(n)]
+    behind = F.arrays_zip(*(F.slice("h", k + 1, F.greatest(F.size("h") - k, F.lit(0))).alias(names[k]) for k in range(n)))
+    rows = texts.select("t", F.inline(behind).alias(*names))
+    of = [F.when(F.col(names[k]).isNotNull(), _bucket(buckets, *names[: k + 1])) for k in range(n)]
+    return rows.select("t", F.explode(F.array(*of)).alias("bucket")).where("bucket is not null")
 
 
 def counts(docs: DataFrame, trusted: DataFrame, n: int, buckets: int) -> DataFrame:
@@ -67,8 +71,8 @@ def counts(docs: DataFrame, trusted: DataFrame, n: int, buckets: int) -> DataFra
     if trusted.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
         marked = F.broadcast(marked)
     texts = docs.join(marked, "id", "left")
-    grams = texts.select("t", F.explode(grams_of(words_of(F.lower("text")), n, buckets)).alias("bucket"))
-    return grams.groupBy("bucket").agg(F.count("*").alias("r"), F.count("t").alias("t"))
+    found = grams(texts.select("t", words_of(F.lower("text")).alias("h")), n, buckets)
+    return found.groupBy("bucket").agg(F.count("*").alias("r"), F.count("t").alias("t"))
 
 
 def weights(counted: DataFrame, buckets: int, prior: float) -> DataFrame:
