@@ -46,6 +46,9 @@ _PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _TERM = "\\p{L}{3,}+"
 #: Pieces of a long text that cut no run of letters.
 _PIECE = "(?s).{1,2000}\\p{L}*+"
+#: Matches whose places are added up in one go, and code points of a part that surroundings are taken from:
+#: both keep the work on a text in proportion to its length, and change no result.
+BLOCK, PART = 256, 4096
 #: Of the smoothed frequency of a term.
 PSEUDO = 0.5
 
@@ -57,14 +60,31 @@ def located(text: Column, pattern: str) -> Column:
     """
 
     def places(both: Column) -> Column:
+        n = F.size(both["found"])
+
         def step(acc: Column, i: Column) -> Column:
             s = acc["at"] + F.length(F.get(both["parts"], i))
             m = F.get(both["found"], i)
             e = s + F.length(m)
             return F.struct(e.alias("at"), F.concat(acc["out"], F.array(F.struct(s.alias("s"), e.alias("e"), m.alias("m")))).alias("out"))
 
-        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int,m:string>>").alias("out"))
-        return F.aggregate(F.sequence(F.lit(0), F.size(both["found"]) - 1), start, step, lambda acc: acc["out"])
+        def from_to(first: Column, to: Column, at: Column) -> Column:
+            start = F.struct(at.alias("at"), F.array().cast("array<struct<s:int,e:int,m:string>>").alias("out"))
+            return F.aggregate(F.sequence(first, to - 1), start, step, lambda acc: acc["out"])
+
+        def length(first: Column) -> Column:
+            both_sides = F.concat(*(F.slice(both[c], first + 1, F.lit(BLOCK)) for c in ("parts", "found")))
+            return F.aggregate(both_sides, F.lit(0), lambda acc, x: acc + F.length(x))
+
+        def after(acc: Column, first: Column) -> Column:
+            own = F.struct(first.alias("first"), acc["at"].alias("at"))
+            return F.struct((acc["at"] + length(first)).alias("at"), F.concat(acc["out"], F.array(own)).alias("out"))
+
+        # appending copies the array, so a text of many matches goes block by block
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<first:int,at:int>>").alias("out"))
+        blocks = F.aggregate(F.sequence(F.lit(0), n - 1, F.lit(BLOCK)), start, after, lambda acc: acc["out"])
+        many = F.flatten(F.transform(blocks, lambda x: from_to(x["first"], F.least(x["first"] + BLOCK, n), x["at"])))
+        return F.when(n <= BLOCK, from_to(F.lit(0), n, F.lit(0))).otherwise(many)
 
     none = F.array().cast("array<struct<s:int,e:int,m:string>>")
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
@@ -108,7 +128,7 @@ def entities(text: Column) -> Column:
 
 
 def _terms(text: Column) -> Column:
-    """array<struct<s, e, m in lower case>> of all terms; piece by piece, since located() is quadratic in the matches."""
+    """array<struct<s, e, m in lower case>> of all terms, piece by piece."""
 
     def of(piece: Column) -> Column:
         return F.transform(located(piece["m"], _TERM), lambda t: F.struct((t["s"] + piece["s"]).alias("s"), (t["e"] + piece["s"]).alias("e"), F.lower(t["m"]).alias("m")))
@@ -129,12 +149,24 @@ def _keys(x: Column) -> Column:
 def _occurrences(text: Column, found: Column, reach: int) -> Column:
     """array<struct<exact, key, place>>: the keys of the entities with a hash of the surroundings."""
 
-    def around(x: Column) -> Column:
-        lo = F.greatest(x["s"] - reach, F.lit(0))
-        place = F.xxhash64(F.substring(text, lo + 1, x["s"] - lo), F.substring(text, x["e"] + 1, F.lit(reach)))
-        return F.transform(_keys(x), lambda k: F.struct(k["exact"].alias("exact"), k["key"].alias("key"), place.alias("place")))
+    size = max(PART, reach)
+
+    def every(parts: Column) -> Column:
+        def cut(at: Column, n: Column) -> Column:
+            """n code points from at on, at most ``reach`` of them: they lie in two parts."""
+            k = F.floor(at / size).cast("int")
+            both = F.concat(F.coalesce(F.get(parts, k), F.lit("")), F.coalesce(F.get(parts, k + 1), F.lit("")))
+            return F.substring(both, at - k * size + 1, n)
+
+        def around(x: Column) -> Column:
+            lo = F.greatest(x["s"] - reach, F.lit(0))
+            place = F.xxhash64(cut(lo, x["s"] - lo), cut(x["e"], F.lit(reach)))
+            return F.transform(_keys(x), lambda k: F.struct(k["exact"].alias("exact"), k["key"].alias("key"), place.alias("place")))
+
+        return F.flatten(F.transform(found, around))
 
-    return F.flatten(F.transform(found, around))
+    # a substring is sought from the start of its string: of a whole long text that is too far
+    return bound(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{size}}}"), F.lit(0)), every)
 
 
 def personal_data(

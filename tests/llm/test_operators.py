@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 import textwrap
 from collections import Counter
@@ -7,6 +8,7 @@ import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from driftline.llm import decontaminate, html_extract, licenses, line_dedup, near_dup, packing, pii, quality, substring_dup, warc
@@ -251,3 +253,20 @@ def test_warc(spark):
     got = {r.record_id: (r.state, r.response_id, r.headers) for r in warc.resolve_revisits(df).collect()}
     assert got == {2: ("resolved", 1, {"etag": "e", "server": "s", "date": "2"}), 3: ("changed", None, None), 4: ("orphan", None, None), 5: ("unchecked", 1, {"etag": "e", "server": "s", "date": "1"})}
     assert warc.resolve_revisits(df.limit(0)).count() == 0
+
+
+def test_places_and_surroundings_in_long_texts(spark):
+    """Beyond one block of matches and one part of a text, places and surroundings are those of the plain rule."""
+    pieces = ["a😀b", "x1", "1.2.3.4", "me@x.org", "zebra ", "é", "+1 234 567 890 12"]
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice(pieces) for _ in range(n)) for n in (0, 1, 255, 2000)] + ["me@x.org " * n for n in (pii.BLOCK, pii.BLOCK + 1)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    text, email = F.col("text"), r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
+    for r in docs.select("doc_id", pii.located(text, pii.PATTERNS["email"]).alias("found")).collect():
+        assert [(x.s, x.e, x.m) for x in r.found] == [(m.start(), m.end(), m[0]) for m in re.finditer(email, texts[r.doc_id])]
+    found = docs.select("text", pii.entities(text).alias("found"))
+    for reach in (60, pii.PART + 900):
+        lo = lambda x: F.greatest(x["s"] - reach, F.lit(0))
+        plain = F.transform("found", lambda x: F.xxhash64(F.substring(text, lo(x) + 1, x["s"] - lo(x)), F.substring(text, x["e"] + 1, F.lit(reach))))
+        both = found.select(F.array_distinct(plain).alias("want"), F.array_distinct(pii._occurrences(text, F.col("found"), reach)["place"]).alias("got"))
+        assert all(r.want == r.got for r in both.collect())
