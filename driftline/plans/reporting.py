@@ -259,9 +259,12 @@ def errors_report(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(None)
 def fresh_errors_tokens(spark: SparkSession, sf: str) -> DataFrame:
-    """The errors of users 75 and up that are not known from those of the others, of which only some kinds are told."""
-    lines = _event_sources(spark, sf).withColumn("user", F.regexp_extract("source", "-([0-9]+)", 1).cast("long"))
-    found = known.report_errors(lines.where("user >= 75").drop("user"), lines.where("user < 75 and seq % 27 < 13").drop("user"))
+    """The errors of odd users that are not known from those of even ones; where k is under 50, the former run a service that the latter do not."""
+    lines = _event_sources(spark, sf).withColumn("odd", F.regexp_extract("source", "-([0-9]+)", 1).cast("long") % 2 == 1)
+    other = F.regexp_extract("line", '"k": ?([0-9]+)', 1).cast("int") < 50
+    changed = F.regexp_replace("line", "svc .*\\}", "kernel watchdog restarted overlay network mounts elsewhere")
+    target = lines.where("odd").withColumn("line", F.when(other, changed).otherwise(F.col("line")))
+    found = known.report_errors(target.drop("odd"), lines.where("not odd").drop("odd"))
     return found.select("source", "pos", F.md5(F.col("line").cast("binary")).alias("line"))
 
 

@@ -79,6 +79,30 @@ def test_set_cosine_both_forms(spark):
         assert got["i", ("other",)] == got["j", ("a",)] == got["i", ()] == 1.0
 
 
+def test_set_cosine_in_blocks_equals_brute_force(spark):
+    """Many small cells: a word that all sets hold, an index that only one side has, a null index, empty and repeated sets."""
+    rows = [(i % 3 and "ij"[i % 2], ["all", *(f"w{i * k % 17}" for k in range(1, i % 6))], i % 4 == 0) for i in range(120)]
+    rows = [(None if name == 0 else name, sorted(set(words)), base) for name, words, base in rows] + [("only", ["all"], False), ("i", [], False), ("i", [], True)]
+    lines = spark.createDataFrame(rows, "index_name string, words array<string>, base boolean")
+    target, base = lines.where("not base"), lines.where("base")
+    asked = target.select("index_name", "words").distinct()
+    known = base.select("index_name", "words").where(F.size("words") > 0).distinct()
+    got = [(r.index_name, tuple(r.words), round(r.distance, 9)) for r in scoring.by_blocks(asked, known, 4, 3).collect()]
+
+    def nearest(name, words):
+        best = [len(set(words) & set(b)) / math.sqrt(len(words) * len(b)) for n, b, is_base in rows if is_base and n == name and b and words]
+        return round(max(0.0, 1 - max(best, default=0.0)), 9)
+
+    want = {(name, tuple(words), nearest(name, words)) for name, words, is_base in rows if not is_base}
+    assert len(got) == len(want) and set(got) == want
+
+
+def test_fresh_errors_on_tokens(spark):
+    got = registry.queries()["fresh_errors_tokens"](spark, SF).collect()
+    lines = {hashlib.md5(r.line.encode()).hexdigest() for r in registry._event_lines(spark, SF).select("line").collect()}
+    assert got and not lines & {r.line for r in got}  # what is told has the words that no line of the others has
+
+
 def test_paths(spark):
     names = {"titi/current/log": "titi/log", "galera/logs/service.txt": "galera/service", "log": "log"}
     rows = spark.createDataFrame([(k,) for k in names], "p string").select("p", paths.index_name(F.col("p")).alias("n"), paths.file_format(F.lit("a.journal~")).alias("f")).collect()
