@@ -103,24 +103,31 @@ _SETS = f"""{LINES}, sets AS (SELECT *, list_sort(list_distinct(list_filter(stri
 
 
 def _scored(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Target lines with words, and t1, t2 to join them by; (t1, t2, distance) of each distinct set."""
     lines = _lines(spark, sf).withColumn("words", scoring.word_set(F.col("line")))
     known = F.col("source").isin(*BASELINE)
     target = lines.where(~known)
-    return target, scoring.distances(target, lines.where(known))
+    return target.select("*", *scoring.set_ids()), scoring.nearest(target, scoring.Known(lines.where(known)))
+
+
+def _per_source(spark: SparkSession, sf: str) -> DataFrame:
+    """(source, n, distance): how many target lines of a source have each distinct set."""
+    target, scored = _scored(spark, sf)
+    return target.groupBy("source", "t1", "t2").agg(F.count("*").alias("n")).join(scored, ["t1", "t2"])
 
 
 @query(f"WITH {_SETS} SELECT source, count(*) AS n_lines, count(*) FILTER (WHERE distance > 0.3) AS n_anomalies FROM sets JOIN scored USING (index_name, words) WHERE source NOT IN {BASELINE} GROUP BY source")
 def anomaly_source_counts(spark: SparkSession, sf: str) -> DataFrame:
     """Lines of each target source, and those farther than the threshold from every baseline line."""
-    target, scored = _scored(spark, sf)
     hit = F.col("distance") > P.THRESHOLD
-    return target.join(scored, ["index_name", "words"]).groupBy("source").agg(F.count("*").alias("n_lines"), F.count(F.when(hit, 1)).alias("n_anomalies"))
+    return _per_source(spark, sf).groupBy("source").agg(F.sum("n").alias("n_lines"), F.sum(F.when(hit, F.col("n")).otherwise(0)).alias("n_anomalies"))
 
 
 @query(f"WITH {_SETS} SELECT index_name, md5(array_to_string(words, ' ')) AS words, round(distance, 6) AS distance FROM scored")
 def set_cosine_distance(spark: SparkSession, sf: str) -> DataFrame:
-    _, scored = _scored(spark, sf)
-    return scored.select("index_name", F.md5(F.array_join("words", " ").cast("binary")).alias("words"), F.round("distance", 6).alias("distance"))
+    target, scored = _scored(spark, sf)
+    said = target.select("index_name", F.md5(F.array_join("words", " ").cast("binary")).alias("said"), "t1", "t2").distinct()
+    return said.join(scored, ["t1", "t2"]).select("index_name", F.col("said").alias("words"), F.round("distance", 6).alias("distance"))
 
 
 @query(f"WITH {_SETS} SELECT cast(round(distance * 10) AS INTEGER) AS severity, count(*) AS n, round(avg(distance), 6) AS mean_distance FROM scored WHERE distance > 0.3 GROUP BY 1")
@@ -132,8 +139,8 @@ def severity_histogram(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"WITH {_SETS} SELECT source, count(*) AS n_anomalies, round(avg(distance), 6) AS mean_distance, row_number() OVER (ORDER BY round(avg(distance), 6) DESC, source) AS rank FROM sets JOIN scored USING (index_name, words) WHERE source NOT IN {BASELINE} AND distance > 0.3 GROUP BY source")
 def log_report_sorted(spark: SparkSession, sf: str) -> DataFrame:
     """Reports by mean distance, farthest first; one row for each source, so the ranking window is small."""
-    target, scored = _scored(spark, sf)
-    per = target.join(scored.where(F.col("distance") > P.THRESHOLD), ["index_name", "words"]).groupBy("source").agg(F.count("*").alias("n_anomalies"), F.round(F.avg("distance"), 6).alias("mean_distance"))
+    far = _per_source(spark, sf).where(F.col("distance") > P.THRESHOLD)
+    per = far.groupBy("source").agg(F.sum("n").alias("n_anomalies"), F.round(F.sum(F.col("distance") * F.col("n")) / F.sum("n"), 6).alias("mean_distance"))
     return per.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("mean_distance"), "source")).cast("long"))
 
 
@@ -222,7 +229,7 @@ def _said(c: str) -> Column:
 def context_windows(spark: SparkSession, sf: str) -> DataFrame:
     """Contexts of the target lines farther than the threshold from every baseline line."""
     target, scored = _scored(spark, sf)
-    marked = target.join(scored, ["index_name", "words"]).withColumn("anomaly", F.col("distance") > P.THRESHOLD)
+    marked = target.join(scored, ["t1", "t2"]).withColumn("anomaly", F.col("distance") > P.THRESHOLD)
     return scoring.contexts(marked).select("doc_id", F.col("pos").cast("long").alias("pos"), _said("before").alias("before"), _said("after").alias("after"))
 
 
