@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
+from contextlib import suppress
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +16,27 @@ from pyspark.sql import functions as F
 BROADCAST_KEYS = 1_000_000
 
 
+#: What operators keep between their tasks, in Python workers that Spark reuses for others.
+_KEPT: dict[str, dict] = {}
+
+
+def keeps(owner: str) -> dict:
+    """The dictionary in which an operator keeps what its next task in this process can use."""
+    return _KEPT.setdefault(owner, {})
+
+
+def lighten(owner: str) -> None:
+    """As a task of ``owner`` begins: what the other operators keep in this process goes back to the system."""
+    others = [kept for name, kept in _KEPT.items() if name != owner and kept]
+    for kept in others:
+        kept.clear()
+    if others:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with suppress(OSError, AttributeError):  # another C library
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 

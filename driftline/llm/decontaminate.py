@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, lighten
 from .textops import NOT_ALNUM, Words, text_slices, window_hashes
 
 SEED = 5
@@ -168,6 +168,7 @@ def contaminated(
         sent = docs.sparkSession.sparkContext.broadcast((names, seeds))
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            lighten("decontaminate")
             names, seeds = sent.value
             for batch in batches:
                 ids, found = batch.column(0).to_pylist(), []
@@ -195,6 +196,7 @@ def _joined(docs: DataFrame, benchmark: DataFrame, seed: int, least: float) -> D
         """(key, seed, width, n): the distinct seeds; of an item the longest that it has, of a document those of all widths."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            lighten("decontaminate")
             for batch in batches:
                 ids = batch.column(0).to_numpy()
                 for row, tokens in token_lists(batch.column(1)):
@@ -216,6 +218,7 @@ def _joined(docs: DataFrame, benchmark: DataFrame, seed: int, least: float) -> D
     pairs = scratch.put(shared.join(repeats, "item_id").where(needed).select("doc_id", "item_id"), "pairs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lighten("decontaminate")
         for batch in batches:
             found = []
             items = dict(token_lists(batch.column(2)))

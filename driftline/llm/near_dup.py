@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, restrict, union_find
+from .common import Scratch, lighten, restrict, union_find
 from .textops import Words, mix, text_slices, window_hashes
 
 SHINGLE = 5
@@ -87,6 +87,7 @@ def features(docs: DataFrame, id_col: str, text_col: str, width: int, bands: int
     salt = mix(np.arange(1, bands + 1, dtype=np.uint64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lighten("near_dup")
         for batch in batches:
             ids = batch.column(0)
             for row, n, data, offsets in text_slices(batch.column(1)):
@@ -118,6 +119,7 @@ def with_sets(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFr
     """(id, shingles binary): the sorted distinct 64-bit shingle hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lighten("near_dup")
         for batch in batches:
             for row, n, data, offsets in text_slices(batch.column(1)):
                 sets = shingle_sets(Words(data, offsets, fold_case=True), width)
@@ -136,6 +138,7 @@ def verified(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, widt
     sets = with_sets(restrict(docs.select(id_col, text_col), ids, id_col), id_col, text_col, width)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lighten("near_dup")
         for batch in batches:  # Spark bounds a batch by bytes, too
             both, union = [], []
             for x, y in zip(batch.column("xa"), batch.column("xb"), strict=True):
@@ -155,6 +158,7 @@ def short_sets(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataF
     """(id, short binary): the shingle hashes of each set cut to 32 bits, sorted, for a close bound on an intersection."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lighten("near_dup")
         for batch in batches:
             for row, n, data, offsets in text_slices(batch.column(1)):
                 sets = [np.sort((s >> np.uint64(32)).astype("<u4")) for s in shingle_sets(Words(data, offsets, fold_case=True), width)]
@@ -219,6 +223,7 @@ def _cross_pairs(members: DataFrame, similar: int, rows_of_band: int) -> DataFra
                     yield np.minimum(ids[y], ids[x]), np.maximum(ids[y], ids[x])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lighten("near_dup")
         held: list[pa.RecordBatch] = []
         for batch in chain(batches, [None]):
             if batch is not None:

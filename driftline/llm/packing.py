@@ -26,6 +26,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import keeps
+
 WINDOW = 4096
 BINS = 16
 DEPTH = 8
@@ -123,7 +125,7 @@ class Encoder:
         return b"".join(map(self.words.__getitem__, text.split()))
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[str, Encoder] = keeps("packing")
 
 
 def encoder(path: str) -> Encoder:
