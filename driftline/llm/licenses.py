@@ -4,9 +4,10 @@ Every license word of a text opens a window of the words around it, across lines
 long stretches in overlapping pieces.  Each template is aligned with the window (local alignment of
 words); what it covers, whether a sentence, a part of one or a run of wrapped lines, is a candidate
 block.  The block is compressed with zstandard alone and with the template as raw dictionary; the share
-of bytes saved must be large.  The exact wording confirms it: the words that differ between the block
-and the template (or the stretch of it that the block quotes, if that is long), whose share must stay
-small, and no word that tells licenses apart (name, version, terms) may differ or be missing.
+of bytes saved must be large, and of blocks that overlap the one that saves most bytes is taken.  The
+exact wording then confirms it: the words that differ between the block and the template (or the stretch
+of it that the block quotes, if that is long), whose share must stay small, and no word that tells
+licenses apart (name, version, terms) may differ or be missing.  If it does not, the next one is taken.
 
 Texts without a license word never leave the JVM.  Savings of equal blocks are remembered (bounded).
 """
@@ -106,11 +107,12 @@ def _alone() -> tuple[zstandard.ZstdCompressor, int]:
 
 
 @lru_cache(50_000)
-def _saved(block: str, k: int) -> float:
-    """Share of the block's compressed bytes that template k saves."""
+def _saved(block: str, k: int) -> tuple[int, float]:
+    """The block's compressed bytes that template k saves, and their share."""
     c, frame = _alone()
     raw = block.encode(errors="replace")
-    return 1 - (len(_templates()[k][4].compress(raw)) - frame) / max(1, len(c.compress(raw)) - frame)
+    alone, given = len(c.compress(raw)) - frame, len(_templates()[k][4].compress(raw)) - frame
+    return alone - given, 1 - given / max(1, alone)
 
 
 def _align(theirs: list[str], mine: list[str]) -> tuple[int, list[tuple[int, int]]]:
@@ -196,17 +198,17 @@ def notices(text: str) -> list[tuple[int, int, str, float, int, str]]:
                     continue
                 c, d = a + pairs[0][1], a + pairs[-1][1] + 1
                 todo += [(x, y) for x, y in ((a, c), (d, b)) if y > x]
-                if verdict := _confirm(theirs, naming, lower[a:b], pairs):
-                    start, end = words[c].start(), words[d - 1].end()
-                    while end < len(text) and text[end] in ".:;!?)\"'":
-                        end += 1
-                    if (saved := _saved(re.sub(r"\s[\s#*/;%!>-]*", " ", text[start:end]), k)) >= LEAST_SAVED:
-                        found[c, d, k] = (len(pairs) - verdict[0], start, end, name, saved, *verdict)
-    # the longest first, none over another
+                start, end = words[c].start(), words[d - 1].end()
+                while end < len(text) and text[end] in ".:;!?)\"'":
+                    end += 1
+                saved, share = _saved(re.sub(r"\s[\s#*/;%!>-]*", " ", text[start:end]), k)
+                if share >= LEAST_SAVED:
+                    found[c, d, k] = (saved, len(pairs), (start, end, name, share), (a, b, pairs))
+    # those that save most bytes first, none over another
     out: list[tuple] = []
-    for (c, d, _), (_, *row) in sorted(found.items(), key=lambda x: (-x[1][0], x[1][5], x[0])):
-        if all(d <= o[0] or o[1] <= c for o in out):
-            out.append((c, d, row))
+    for (c, d, k), (_, _, row, (a, b, pairs)) in sorted(found.items(), key=lambda x: (-x[1][0], -x[1][1], x[0])):
+        if all(d <= o[0] or o[1] <= c for o in out) and (verdict := _confirm(*_templates()[k][1:3], lower[a:b], pairs)):
+            out.append((c, d, (*row, *verdict)))
     return [tuple(row) for _, _, row in sorted(out, key=lambda o: o[0])]
 
 
