@@ -32,9 +32,14 @@ def lighten(owner: str) -> None:
         kept.clear()
     if others:
         gc.collect()
-        pa.default_memory_pool().release_unused()
-        with suppress(OSError, AttributeError):  # another C library
-            ctypes.CDLL(None).malloc_trim(0)
+        trim()
+
+
+def trim() -> None:
+    """Freed memory of this process goes back to the system; the C library alone keeps what lies below a block in use."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def shared_dir(spark: SparkSession) -> str:

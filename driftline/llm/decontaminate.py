@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, lighten
+from .common import Scratch, lighten, trim
 from .textops import NOT_ALNUM, Words, text_slices, window_hashes
 
 SEED = 5
@@ -178,6 +178,7 @@ def contaminated(
                             found.append((ids[row], names[i], len(seeds.items[i]), *got))
                 if found:
                     yield _rows(found)
+            trim()
 
         return docs.mapInArrow(scan, f"doc_id long, item_id long, {_RESULT}")
     return _joined(docs, benchmark, seed, least)

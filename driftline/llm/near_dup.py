@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, lighten, restrict, union_find
+from .common import Scratch, lighten, restrict, trim, union_find
 from .textops import Words, mix, text_slices, window_hashes
 
 SHINGLE = 5
@@ -111,6 +111,7 @@ def features(docs: DataFrame, id_col: str, text_col: str, width: int, bands: int
                     ],
                     names=["id", "n_shingles", "fp1", "fp2", "bands", "sketch"],
                 )
+        trim()
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, n_shingles long, fp1 long, fp2 long, bands array<long>, sketch binary")
 
@@ -124,6 +125,7 @@ def with_sets(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFr
             for row, n, data, offsets in text_slices(batch.column(1)):
                 sets = shingle_sets(Words(data, offsets, fold_case=True), width)
                 yield pa.record_batch([batch.column(0).slice(row, n), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "shingles"])
+        trim()
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, shingles binary")
 
@@ -149,6 +151,7 @@ def verified(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, widt
                 union.append(len(a) + len(b) - common)
             out = pa.record_batch([batch.column("a"), batch.column("b"), pa.array(both, pa.int64()), pa.array(union, pa.int64())], names=["a", "b", "n_both", "n_union"])
             yield out.filter(pa.array([100 * i >= similar * u > 0 for i, u in zip(both, union, strict=True)], pa.bool_()))
+        trim()
 
     joined = pairs.select("a", "b").join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("xa")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("xb")), "b")
     return joined.select("a", "b", "xa", "xb").mapInArrow(run, "a long, b long, n_both long, n_union long")
@@ -163,6 +166,7 @@ def short_sets(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataF
             for row, n, data, offsets in text_slices(batch.column(1)):
                 sets = [np.sort((s >> np.uint64(32)).astype("<u4")) for s in shingle_sets(Words(data, offsets, fold_case=True), width)]
                 yield pa.record_batch([batch.column(0).slice(row, n), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "short"])
+        trim()
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, short binary")
 
@@ -240,6 +244,7 @@ def _cross_pairs(members: DataFrame, similar: int, rows_of_band: int) -> DataFra
                 ready, held = rows.slice(0, cut), rows.slice(cut).to_batches()
             if ready.num_rows and (found := list(compare(ready))):
                 yield pa.record_batch([pa.array(np.concatenate([f[k] for f in found])) for k in (0, 1)], names=["a", "b"])
+        trim()
 
     dealt = dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
     return dealt.mapInArrow(run, "a long, b long")

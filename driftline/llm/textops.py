@@ -71,6 +71,16 @@ _word_powers = _Powers(_STEP, _STEP_INV)
 _other_powers = _Powers(_OTHER_STEP, pow(_OTHER_STEP, -1, 1 << 64))
 
 
+def byte_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """One 64-bit hash for each data[start:end], from its bytes."""
+    n = len(data)
+    up, _ = _byte_powers(n)
+    total = np.zeros(n + 1, dtype=np.uint64)
+    np.cumsum(_BYTE_VALUE[data] * up, out=total[1:])
+    _, down = _byte_powers(n + 1)
+    return mix((total[end] - total[start]) * down[start])
+
+
 class Words:
     """The words of a few whole texts laid end to end.
 
@@ -105,12 +115,7 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         """One 64-bit hash for each word, from its bytes."""
-        n = len(self.data)
-        up, _ = _byte_powers(n)
-        total = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum(_BYTE_VALUE[self.data] * up, out=total[1:])
-        _, down = _byte_powers(n + 1)
-        return mix((total[self.end] - total[self.start]) * down[self.start])
+        return byte_hashes(self.data, self.start, self.end)
 
     def text_of(self, i: int, j: int) -> bytes:
         """Words i to j (exclusive) of one text, joined by one space."""
